@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, secrets, sharding, token_output
+from . import bpe, fingerprints, packing, secrets, sharding, token_output, toxicity
 
 #: Folder-independent names of vocabulary files; a parameter of the operators.
 TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_multi_50k.tiktoken"
@@ -49,8 +49,17 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary(RANKS))
 
 
+def op8_locally_consistent_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_edited(table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")), 0.3)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_secret_scan, op3_best_fit_packing, op4_packed_token_ids, op5_virtual_slot_sharding, op6_byte_bpe)
+    f.__name__: f for f in (op2_secret_scan, op3_best_fit_packing, op4_packed_token_ids, op5_virtual_slot_sharding, op6_byte_bpe, op8_locally_consistent_fingerprints, op10_toxicity)
 }
 
 ORACLES: dict[str, str] = {}
