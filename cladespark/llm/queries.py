@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, minhash, packing, secrets, sharding, token_output, toxicity
+from . import bpe, fingerprints, minhash, packing, secrets, sharding, token_output, toxicity, vectors
 
 #: Folder-independent names of vocabulary files; a parameter of the operators.
 TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_multi_50k.tiktoken"
@@ -62,8 +62,12 @@ def op9_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op7_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"), 0.93)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_secret_scan, op3_best_fit_packing, op4_packed_token_ids, op5_virtual_slot_sharding, op6_byte_bpe, op8_locally_consistent_fingerprints, op9_minhash_near_duplicates, op10_toxicity)
+    f.__name__: f for f in (op2_secret_scan, op3_best_fit_packing, op4_packed_token_ids, op5_virtual_slot_sharding, op6_byte_bpe, op7_embedding_near_duplicates, op8_locally_consistent_fingerprints, op9_minhash_near_duplicates, op10_toxicity)
 }
 
 ORACLES: dict[str, str] = {}
