@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, minhash, packing, secrets, sharding, token_output, toxicity, vectors
+from . import bpe, fingerprints, line_dedup, minhash, packing, secrets, sharding, token_output, toxicity, vectors
 
 #: Folder-independent names of vocabulary files; a parameter of the operators.
 TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_multi_50k.tiktoken"
@@ -23,6 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_template_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", "text")
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -67,7 +72,7 @@ def op7_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_secret_scan, op3_best_fit_packing, op4_packed_token_ids, op5_virtual_slot_sharding, op6_byte_bpe, op7_embedding_near_duplicates, op8_locally_consistent_fingerprints, op9_minhash_near_duplicates, op10_toxicity)
+    f.__name__: f for f in (op1_line_template_dedup, op2_secret_scan, op3_best_fit_packing, op4_packed_token_ids, op5_virtual_slot_sharding, op6_byte_bpe, op7_embedding_near_duplicates, op8_locally_consistent_fingerprints, op9_minhash_near_duplicates, op10_toxicity)
 }
 
 ORACLES: dict[str, str] = {}
