@@ -84,10 +84,10 @@ def _sets(raw: list[bytes], words: int) -> Iterator[np.ndarray]:
             x = np.sort(s[a : b - words + 1])
             yield x[np.append(True, x[1:] != x[:-1])]
         elif b > a:  # fewer words than a shingle
-            x = h[a]
+            x = h[a : a + 1]
             for k in range(1, b - a):
-                x = mixed(np.atleast_1d(x + np.uint64(k)))[0] + h[a + k]
-            yield np.array([mixed(np.array([x ^ np.uint64(b - a)], np.uint64))[0]], np.uint64)
+                x = mixed(x + np.uint64(k)) + h[a + k]
+            yield mixed(x ^ np.uint64(b - a))
         else:
             yield np.zeros(0, np.uint64)
 

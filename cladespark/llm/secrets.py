@@ -16,6 +16,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._util import cut
+
+#: Addresses with findings that may be broadcast: some 100 bytes each.
+BROADCAST_BLOBS = 100_000
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -66,14 +71,14 @@ def spans(text: Column, rule: Rule, rank: int) -> Column:
     return F.when(text.rlike(rule.pattern), found).otherwise(F.array().cast(SPANS))
 
 
-def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = BASE + MORE, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(new ledger rows, versions without text but with ``spans``).
+def address(text: Column) -> Column:
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
 
-    ``ledger``: rows (blob binary, rules array<string>, spans) of earlier scans, or None. The new rows are to be appended to
-    it. Only findings of ``rules`` in their present versions are joined back.
-    """
-    held = versions.withColumn(text_col, F.coalesce(F.col(text_col), F.lit(""))).withColumn("blob", F.unhex(F.sha2(F.col(text_col), 256)))
-    blobs = held.select("blob", F.col(text_col).alias("text")).dropDuplicates(["blob"])
+
+def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = BASE + MORE, text_col: str = "text") -> DataFrame:
+    """New ledger rows (blob binary, rules array<string>, spans), written to the shared folder, to be appended to ``ledger``."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    blobs = versions.select(address(text).alias("blob"), text.alias("text")).dropDuplicates(["blob"])
     keys = F.array(*[F.lit(r.key) for r in rules])
     if ledger is None:
         blobs = blobs.withColumn("seen", F.array().cast("array<string>"))
@@ -82,14 +87,35 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
         blobs = blobs.join(seen, "blob", "left").withColumn("seen", F.coalesce("seen", F.array().cast("array<string>")))
         blobs = blobs.where(F.size(F.array_except(keys, F.col("seen"))) > 0)
     per_rule = [F.when(F.array_contains("seen", r.key), F.array().cast(SPANS)).otherwise(spans(F.col("text"), r, i)) for i, r in enumerate(rules)]
-    new = blobs.select("blob", F.array_except(keys, F.col("seen")).alias("rules"), F.array_sort(F.concat(*per_rule)).alias("spans"))
-    found = new.where(F.size("spans") > 0)
-    if ledger is not None:
-        kinds = [r.kind for r in rules]
-        old = ledger.where(F.arrays_overlap("rules", keys)).select("blob", F.filter("spans", lambda s: s["kind"].isin(kinds)).alias("spans"))
-        found = found.select("blob", "spans").union(old).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
-    out = held.drop(text_col).join(found.select("blob", "spans"), "blob", "left")
-    return new, out.withColumn("spans", F.coalesce("spans", F.array().cast(SPANS)))
+    return cut(blobs.select("blob", F.array_except(keys, F.col("seen")).alias("rules"), F.array_sort(F.concat(*per_rule)).alias("spans")))
+
+
+def findings(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, text_col: str = "text") -> DataFrame:
+    """``versions`` with a column ``__spans`` of what ``rules``, in their present versions, found in each text.
+
+    Only addresses with findings are joined; they are broadcast if they are few, else joined by shuffle.
+    """
+    kinds = [r.kind for r in rules]
+    found = ledger.where(F.arrays_overlap("rules", F.array(*[F.lit(r.key) for r in rules])))
+    found = found.select(F.col("blob").alias("__blob"), F.filter("spans", lambda s: s["kind"].isin(kinds)).alias("s")).where(F.size("s") > 0)
+    found = cut(found.groupBy("__blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("s")))).alias("__spans")))
+    if found.count() <= BROADCAST_BLOBS:
+        found = F.broadcast(found)
+    out = versions.withColumn("__blob", address(F.col(text_col))).join(found, "__blob", "left").drop("__blob")
+    return out.withColumn("__spans", F.coalesce("__spans", F.array().cast(SPANS)))
+
+
+def redact(versions: DataFrame, text_col: str = "text") -> DataFrame:
+    """All columns of ``versions``, each found secret in the text replaced by its kind in brackets; needs ``__spans``."""
+    text = F.col(text_col)
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        new = F.concat(acc["out"], F.substring(text, acc["at"].cast("int") + 1, (s["start"] - acc["at"]).cast("int")), F.lit("["), s["kind"], F.lit("]"))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], new).otherwise(acc["out"]).alias("out"))
+
+    clean = F.aggregate("__spans", start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"].cast("int") + 1, F.length(text))))
+    return versions.withColumn(text_col, F.when(F.size("__spans") > 0, clean).otherwise(text)).drop("__spans")
 
 
 def written(spans_: Column) -> Column:
