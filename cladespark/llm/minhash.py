@@ -8,9 +8,9 @@ that met in a prefix. Pairs above the threshold of matches are confirmed on full
 
 A posting never yields all its pairs. First each member meets one leader of its posting, drawn by a hash for each posting, which
 links large groups through many leaders in linear work. Components of the confirmed links are then found, and in postings
-that still hold several components only members outside the largest one meet the members of other components: pairs
-within a component cannot change the result. Every pair of texts in different components that share a prefix posting is
-checked, so components are those of all confirmed links.
+that still hold several components only members outside the largest one meet the members of other components, in blocks and
+on full sets: pairs within a component cannot change the result. Every pair of texts in different components that share
+a prefix posting is checked, so components are those of all confirmed links.
 
 Words are maximal runs of characters other than ASCII white space, A-Z in lower case. A text with fewer words than a shingle
 has one shingle, its word sequence. Null, empty and blank texts have no set, are linked with nothing and stand for
@@ -24,18 +24,21 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._util import components, cut, forget, only, small_batches
 from .fingerprints import mixed
-from .pieces import powers
+from .pieces import gather, powers
 
 #: Coordinates of a signature, and how many must agree: at a Jaccard index of 0.8, fewer agree in 1 of 8000 pairs.
 K, MATCHES = 48, 28
 #: Members of a posting that one salt of a join takes.
 SALT_ROWS = 50_000
+#: Members of a posting in a block, when components that share it are compared.
+GROUP = 4000
 #: Ids to look up again that may be broadcast: 16 MB at most.
 BROADCAST_IDS = 1_000_000
 #: Bytes of text that are split into words at a time.
@@ -164,6 +167,53 @@ def postings(classes: DataFrame) -> DataFrame:
     return ranked.select("rep", "n", F.explode(kept).alias("t")).select("t.token", "t.freq", "rep", "n")
 
 
+def completed(held: DataFrame, docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(a, b): confirmed links between components that share a posting of ``held(token, rep, component)``.
+
+    Members outside a posting's largest component meet all its members, in blocks of both, on full sets: a task counts the shingles
+    in common and returns one link for a member and a component, never the pairs it tried.
+    """
+    sizes = held.groupBy("token", "component").agg(F.count("*").alias("m"))
+    top = sizes.groupBy("token").agg(F.max(F.struct("m", "component")).alias("top"), F.sum("m").alias("g"), F.count("*").alias("c")).where("c > 1")
+    top = top.select("token", F.col("top.component").alias("top"), F.expr(f"cast(g div {GROUP} + 1 as int)").alias("gb"), F.expr(f"cast((g - top.m) div {GROUP} + 1 as int)").alias("mb"))
+    rows = cut(held.join(top, "token"))
+    sets = full_sets(docs, rows.select(F.col("rep").alias("id")).distinct(), words, id_col, text_col).dropDuplicates(["id"])
+    own = rows.select("token", "rep", "component", F.pmod(F.xxhash64("rep"), "gb").cast("int").alias("x"), F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("y"), F.lit(False).alias("asks"))
+    out = rows.where("component <> top").select("token", "rep", "component", F.explode(F.sequence(F.lit(0), F.col("gb") - 1)).alias("x"), F.pmod(F.xxhash64("rep"), "mb").cast("int").alias("y"), F.lit(True).alias("asks"))
+    both = own.union(out).join(sets.withColumnRenamed("id", "rep"), "rep")
+    kind = held.schema["rep"].dataType.simpleString()
+
+    def run(t: pa.Table) -> pa.Table:
+        asks = np.asarray(t.column("asks"))
+        rep, comp = np.asarray(t.column("rep")), np.asarray(t.column("component"))
+        items = t.column("items").combine_chunks()
+        off = np.asarray(items.offsets).astype(np.int64)
+        code, vocabulary = pd.factorize(np.asarray(items.flatten()))
+        off -= off[0]
+        n = np.diff(off)
+        members = np.flatnonzero(~asks)
+        flat = gather(code, off[members], n[members])
+        begin = np.cumsum(n[members]) - n[members]
+        mark = np.zeros(len(vocabulary), np.int32)
+        a, b = [], []
+        for i in np.flatnonzero(asks).tolist():
+            mine = code[off[i] : off[i + 1]]
+            mark[mine] = 1
+            common = np.add.reduceat(mark[flat], begin)
+            mark[mine] = 0
+            ok = (100 * common >= percent * (n[i] + n[members] - common)) & (comp[members] != comp[i])
+            hit = members[ok]
+            if len(hit):
+                hit = hit[np.unique(comp[hit], return_index=True)[1]]
+                a.append(np.full(len(hit), rep[i]))
+                b.append(rep[hit])
+        none = np.zeros(0, rep.dtype)
+        return pa.table([pa.array(np.concatenate(a) if a else none), pa.array(np.concatenate(b) if b else none)], ["a", "b"])
+
+    links = both.groupBy("token", "x", "y").applyInArrow(run, f"a {kind}, b {kind}")
+    return cut(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row. Links: percent of shared shingles of at least ``percent``."""
     sigs = cut(signatures(docs, words, id_col, text_col))
@@ -177,14 +227,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     comp = cut(components(first))
     # what is left: members of a posting in different components
     held = posts.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    held = cut(held.select("token", "rep", "n", "component"))
-    sizes = held.groupBy("token", "component").agg(F.count("*").alias("m"))
-    mixed_ = sizes.groupBy("token").agg(F.max(F.struct("m", "component")).alias("top"), F.count("*").alias("c")).where("c > 1").select("token", F.col("top.component").alias("top"))
-    open_ = cut(held.join(mixed_, "token"))
-    x, y = open_.where("component <> top").alias("x"), open_.alias("y")
-    fits = "x.token = y.token and x.component <> y.component and 100 * least(x.n, y.n) >= {0} * greatest(x.n, y.n) and (y.component = y.top or x.rep < y.rep)".format(percent)
-    left = x.join(y, F.expr(fits)).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
-    second = confirmed(left, classes, docs, words, percent, id_col, text_col)
+    held = cut(held.select("token", "rep", "component"))
+    second = completed(held, docs, words, percent, id_col, text_col)
     if not second.isEmpty():
         old = comp
         comp = cut(components(first.union(second)))
