@@ -6,8 +6,11 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+ColumnOrName = Column | str
+
 
 def _chi2_tail(x: float, k: int) -> float:
     """Upper tail of chi-square for a whole number of degrees of freedom, by the finite sums for even and odd ones."""
@@ -59,16 +62,26 @@ def _fisher(a: int, b: int, c: int, d: int) -> float:
     return float(min(1.0, x[x <= x[a - low] * (1 + 1e-7)].sum()))
 
 
-@F.pandas_udf("double")
-def chi2_sf(x: pd.Series, dof: pd.Series) -> pd.Series:
+def _chi2_column(x: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series([None if a is None or a != a else _chi2_tail(a, int(k)) for a, k in zip(x, dof, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("double")
-def t_two_sided(t: pd.Series, dof: pd.Series) -> pd.Series:
+def _t_column(t: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series([_t_two_sided(a, k) for a, k in zip(t, dof, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("double")
-def fisher_exact(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+def _fisher_column(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
     return pd.Series([_fisher(*map(int, x)) for x in zip(a, b, c, d, strict=True)], dtype="float64")
+
+
+def chi2_sf(x: ColumnOrName, dof: ColumnOrName) -> Column:
+    return F.pandas_udf(_chi2_column, "double")(x, dof)
+
+
+def t_two_sided(t: ColumnOrName, dof: ColumnOrName) -> Column:
+    return F.pandas_udf(_t_column, "double")(t, dof)
+
+
+def fisher_exact(a: ColumnOrName, b: ColumnOrName, c: ColumnOrName, d: ColumnOrName) -> Column:
+    """Two-sided p of 2 x 2 tables, row by row."""
+    return F.pandas_udf(_fisher_column, "double")(a, b, c, d)

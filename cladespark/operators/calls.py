@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.text import info_map, number
+from ..functions.text import info_value, number
 
 SITE = ["chrom", "pos", "ref", "alt"]
 
@@ -18,7 +18,7 @@ def parse_records(lines: DataFrame) -> DataFrame:
     get = lambda i: F.get("f", F.lit(i))
     return rows.select(
         "sample_id", "line_no", get(0).alias("chrom"), F.trim(get(1)).try_cast("int").alias("pos"), F.upper(F.trim(get(3))).alias("ref"),
-        F.transform(F.split(F.upper(get(4)), ","), lambda a: F.trim(a)).alias("alts"), get(5).alias("qual"), info_map(get(7)).alias("info"),
+        F.transform(F.split(F.upper(get(4)), ","), lambda a: F.trim(a)).alias("alts"), get(5).alias("qual"), get(7).alias("info"),
         F.split(get(8), ":").alias("fmt"), F.split(get(9), ":").alias("smp"),
     ).where("pos is not null")
 
@@ -34,7 +34,7 @@ def passes_qc(qual: Column, info: Column, least_qual: float = 30, depth: float =
 
     NaN fails no test but the one of depth, where it counts as 0.
     """
-    at = lambda k: number(F.try_element_at(info, F.lit(k)))
+    at = lambda k: number(info_value(info, k))
     low = lambda x, t: F.isnan(x) | (x >= t)
     dp = at("DP")
     dp = F.when(F.isnan(dp), 0.0).otherwise(F.floor(dp))
@@ -138,8 +138,9 @@ def compact_ids(variants: DataFrame) -> DataFrame:
 
 def qc_report(records: DataFrame) -> DataFrame:
     """One row a sample: what a quality check of its records counts."""
-    gt = F.get("smp", F.lit(0))
-    dp = number(F.try_element_at("info", F.lit("DP")))
+    at = F.array_position("fmt", "GT")
+    gt = F.coalesce(F.when(at > 0, F.get("smp", (at - 1).cast("int"))), F.lit(""))
+    dp = number(info_value(F.col("info"), "DP"))
     alleles = F.split(gt, r"[/|]")
     c = lambda x: F.sum(x.cast("int"))
     return records.groupBy("sample_id").agg(
