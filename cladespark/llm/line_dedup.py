@@ -1,8 +1,8 @@
 """Line dedup by a fixed-depth tree of log templates.
 
 A line is a sequence of tokens (runs without ASCII white space); tokens with a digit are variable fields from the start. The tree's
-leaf is the token count and the ``LEADING`` first tokens. In a leaf, distinct lines join the template that agrees with
-them in most places, at least a share ``SIMILAR``, and places that differ become variable. A template recurs if it stands in
+leaf is the token count and the ``LEADING`` first tokens. In a leaf, distinct lines join the template of whose fixed places they
+agree with most, at least a share ``SIMILAR`` and half of all places, and places that differ become variable. A template recurs if it stands in
 ``min_docs`` unrelated documents; every line of it but the first (by id) is dropped.
 
 Documents are unrelated if their least and greatest line differ: copies and near copies of one text, whose lines all recur
@@ -106,9 +106,11 @@ def templates(toks: np.ndarray) -> np.ndarray:
     count = 0
     for i in range(len(toks)):
         if count:
-            same = ((heads[:count] == toks[i]) | (heads[:count] == 0)).mean(axis=1)
-            best = int(same.argmax())
-            if same[best] >= SIMILAR:
+            fixed = heads[:count] != 0
+            same = ((heads[:count] == toks[i]) & fixed).sum(axis=1)
+            share = np.where(2 * same >= toks.shape[1], same / np.maximum(1, fixed.sum(axis=1)), 0)
+            best = int(share.argmax())
+            if share[best] >= SIMILAR:
                 heads[best][heads[best] != toks[i]] = 0
                 out[i] = best
                 continue
