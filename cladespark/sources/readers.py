@@ -14,7 +14,7 @@ LABEL_NAMES = ("label", "class", "group", "y")
 def call_lines(spark: SparkSession, folder: str) -> DataFrame:
     """(sample_id, line_no, value) of every line of ``*.vcf`` and ``*.vcf.gz`` files. Lines are numbered by their place in the file, so
     the last of equal records can win."""
-    raw = spark.read.option("pathGlobFilter", "*.vcf*").option("wholetext", True).text(folder)
+    raw = spark.read.option("pathGlobFilter", "*.vcf*").text(folder, wholetext=True)
     name = F.element_at(F.split(F.input_file_name(), "/"), -1)
     files = raw.select(file_sample(name).alias("sample_id"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "value"))
     return files.where("value <> ''")
@@ -67,7 +67,7 @@ def metadata(spark: SparkSession, path: str) -> DataFrame:
 def markers(spark: SparkSession, path: str) -> DataFrame:
     """(idx, marker): distinct markers in order of first appearance."""
     if path.endswith(".txt"):
-        raw = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\r?\n")).alias("idx", "marker"))
+        raw = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("idx", "marker"))
         raw = raw.where("trim(marker) <> '' and not trim(marker) like '#%'")
     else:
         df = table(spark, path)
@@ -78,7 +78,7 @@ def markers(spark: SparkSession, path: str) -> DataFrame:
 
 def fasta(spark: SparkSession, path: str) -> DataFrame:
     """(idx, name, seq) of a FASTA file."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "(?m)^>")).alias("idx", "r")).where("trim(r) <> ''")
+    raw = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "(?m)^>")).alias("idx", "r")).where("trim(r) <> ''")
     name = F.trim(F.substring_index(F.regexp_replace("r", "\r", ""), "\n", 1))
     body = F.regexp_replace(F.regexp_replace("r", r"^[^\n]*(\n|$)", ""), r"\s", "")
     return raw.select("idx", name.alias("name"), body.alias("seq"))
@@ -94,7 +94,7 @@ def fasta_matrix(spark: SparkSession, path: str) -> DataFrame:
 
 def reference(spark: SparkSession, path: str) -> str:
     """One upper-case sequence of a FASTA or GenBank file; it is broadcast with the plans that use it."""
-    whole = spark.read.option("wholetext", True).text(path).first()[0]
+    whole = spark.read.text(path, wholetext=True).first()[0]
     if path.lower().endswith((".gb", ".gbk", ".gbff")) or not whole.lstrip().startswith(">"):
         parts = [x.split("//")[0] for x in whole.split("ORIGIN")[1:]]
         return "".join(c for p in parts for c in p if c.isalpha()).upper()
@@ -105,7 +105,7 @@ def coding_regions(spark: SparkSession, path: str) -> DataFrame:
     """(idx, start, end, strand, locus_tag, gene, product) of a GenBank file, start from 0, end exclusive."""
     import re
 
-    text = spark.read.option("wholetext", True).text(path).first()[0].split("\nORIGIN")[0]
+    text = spark.read.text(path, wholetext=True).first()[0].split("\nORIGIN")[0]
     rows = []
     for block in re.split(r"\n {5}(?=\S)", text):
         m = re.match(r"CDS\s+(complement\()?(?:join\()?<?(\d+)", block)
