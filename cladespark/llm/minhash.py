@@ -167,11 +167,11 @@ def postings(classes: DataFrame) -> DataFrame:
     return ranked.select("rep", "n", F.explode(kept).alias("t")).select("t.token", "t.freq", "rep", "n")
 
 
-def completed(held: DataFrame, docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+def completed(held: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """(a, b): confirmed links between components that share a posting of ``held(token, rep, component)``.
 
-    Members outside a posting's largest component meet all its members, in blocks of both, on full sets: a task counts the shingles
-    in common and returns one link for a member and a component, never the pairs it tried.
+    Members outside a posting's largest component meet all its members, in blocks of both: signatures first, then full sets. A task
+    returns one link for a member and a component, never the pairs it tried.
     """
     sizes = held.groupBy("token", "component").agg(F.count("*").alias("m"))
     top = sizes.groupBy("token").agg(F.max(F.struct("m", "component")).alias("top"), F.sum("m").alias("g"), F.count("*").alias("c")).where("c > 1")
@@ -180,7 +180,7 @@ def completed(held: DataFrame, docs: DataFrame, words: int, percent: int, id_col
     sets = full_sets(docs, rows.select(F.col("rep").alias("id")).distinct(), words, id_col, text_col).dropDuplicates(["id"])
     own = rows.select("token", "rep", "component", F.pmod(F.xxhash64("rep"), "gb").cast("int").alias("x"), F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("y"), F.lit(False).alias("asks"))
     out = rows.where("component <> top").select("token", "rep", "component", F.explode(F.sequence(F.lit(0), F.col("gb") - 1)).alias("x"), F.pmod(F.xxhash64("rep"), "mb").cast("int").alias("y"), F.lit(True).alias("asks"))
-    both = own.union(out).join(sets.withColumnRenamed("id", "rep"), "rep")
+    both = own.union(out).join(sets.withColumnRenamed("id", "rep").join(classes.select("rep", "sig"), "rep"), "rep")
     kind = held.schema["rep"].dataType.simpleString()
 
     def run(t: pa.Table) -> pa.Table:
@@ -194,15 +194,21 @@ def completed(held: DataFrame, docs: DataFrame, words: int, percent: int, id_col
         members = np.flatnonzero(~asks)
         flat = gather(code, off[members], n[members])
         begin = np.cumsum(n[members]) - n[members]
+        sig = np.asarray(t.column("sig").combine_chunks().flatten()).reshape(len(t), K)
+        theirs = sig[members]
         mark = np.zeros(len(vocabulary), np.int32)
         a, b = [], []
         for i in np.flatnonzero(asks).tolist():
+            near = np.flatnonzero((comp[members] != comp[i]) & (100 * np.minimum(n[members], n[i]) >= percent * np.maximum(n[members], n[i])))
+            near = near[(theirs[near] == sig[i]).sum(axis=1) >= MATCHES]
+            if not len(near):
+                continue
             mine = code[off[i] : off[i + 1]]
             mark[mine] = 1
-            common = np.add.reduceat(mark[flat], begin)
+            size = n[members[near]]
+            common = np.add.reduceat(mark[gather(flat, begin[near], size)], np.cumsum(size) - size)
             mark[mine] = 0
-            ok = (100 * common >= percent * (n[i] + n[members] - common)) & (comp[members] != comp[i])
-            hit = members[ok]
+            hit = members[near[100 * common >= percent * (n[i] + size - common)]]
             if len(hit):
                 hit = hit[np.unique(comp[hit], return_index=True)[1]]
                 a.append(np.full(len(hit), rep[i]))
@@ -228,7 +234,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     # what is left: members of a posting in different components
     held = posts.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     held = cut(held.select("token", "rep", "component"))
-    second = completed(held, docs, words, percent, id_col, text_col)
+    second = completed(held, classes, docs, words, percent, id_col, text_col)
     if not second.isEmpty():
         old = comp
         comp = cut(components(first.union(second)))
