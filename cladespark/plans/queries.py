@@ -66,7 +66,7 @@ EVENTS = with_("event_cells", "segment_labels") + ","
 @query(EVENTS + RANKED + " select variant_id, cast(n as bigint) as n, cast(dof as bigint) as dof, round(chi2, 6) as chi2, round(p, 6) as p, round(q, 6) as q, round(v, 6) as v, round(mi, 6) as mi, case when v < 0.1 then 'negligible' when v < 0.3 then 'small' when v < 0.5 then 'medium' else 'large' end as effect from bh order by p, variant_id limit 20")
 def association_top_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells, labels = event_data(spark, sf_dir)
-    found = association.benjamini_hochberg(association.tests(association.contingency(cells, labels)))
+    found = association.benjamini_hochberg(association.tests(association.contingency(cells, labels).persist()).persist())  # ranked in several steps
     top = found.orderBy("p", "variant_id").limit(20)
     return rounded(top.select("variant_id", "n", "dof", "chi2", "p", "q", "v", "mi", "effect"))
 
@@ -78,7 +78,7 @@ def contingency_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(EVENTS + RANKED + ", bf as (select variant_id, least(1, p * cnt) as bonferroni, p <= 0.05 / cnt as kept, q, q <= 0.05 as found from bh) select variant_id, round(bonferroni, 6) as bonferroni, kept, round(q, 6) as q, found from bf")
 def multiple_testing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = association.tests(association.contingency(*event_data(spark, sf_dir))).select("variant_id", "p")
+    p = association.tests(association.contingency(*event_data(spark, sf_dir)).persist()).select("variant_id", "p").persist()
     bh = association.benjamini_hochberg(p).select("variant_id", "q", F.col("significant").alias("found"))
     bf = association.bonferroni(p).select("variant_id", F.col("q").alias("bonferroni"), F.col("significant").alias("kept"))
     return rounded(bh.join(bf, "variant_id"))
