@@ -156,53 +156,75 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
 
 
 def postings(classes: DataFrame) -> DataFrame:
-    """(token, freq, rep, n): each class under the rarest of its tokens that other classes have too."""
+    """(token, freq, rep): each class under the rarest of its tokens that other classes have too."""
     prefix = K - MATCHES + 1
-    tokens = classes.select("rep", "n", F.posexplode("sig").alias("at", "value"))
-    tokens = tokens.select("rep", "n", (F.shiftleft(F.col("at").cast("bigint"), 32) + F.col("value").cast("bigint") + F.lit(2**31)).alias("token"))
+    tokens = classes.select("rep", F.posexplode("sig").alias("at", "value"))
+    tokens = tokens.select("rep", (F.shiftleft(F.col("at").cast("bigint"), 32) + F.col("value").cast("bigint") + F.lit(2**31)).alias("token"))
     freq = tokens.groupBy("token").agg(F.count("*").alias("freq")).where("freq > 1")
     shared = tokens.join(freq, "token")
-    ranked = shared.groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("freq", "token"))).alias("t"))
+    ranked = shared.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("freq", "token"))).alias("t"))
     kept = F.slice("t", F.lit(1), F.greatest(F.lit(0), F.lit(prefix - K) + F.size("t")))
-    return ranked.select("rep", "n", F.explode(kept).alias("t")).select("t.token", "t.freq", "rep", "n")
+    return ranked.select("rep", F.explode(kept).alias("t")).select("t.token", "t.freq", "rep")
 
 
 def completed(held: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """(a, b): confirmed links between components that share a posting of ``held(token, rep, component)``.
 
-    Members outside a posting's largest component meet all its members, in blocks of both: signatures first, then full sets. A task
-    returns one link for a member and a component, never the pairs it tried.
+    Members outside a posting's largest component meet all its members, in blocks of both. Blocks of signatures come first; they
+    return the rows that any promising pair needs, and only these rows meet again with their full sets. A task returns one link
+    for a member and a component, never the pairs it tried.
     """
     sizes = held.groupBy("token", "component").agg(F.count("*").alias("m"))
     top = sizes.groupBy("token").agg(F.max(F.struct("m", "component")).alias("top"), F.sum("m").alias("g"), F.count("*").alias("c")).where("c > 1")
     top = top.select("token", F.col("top.component").alias("top"), F.expr(f"cast(g div {GROUP} + 1 as int)").alias("gb"), F.expr(f"cast((g - top.m) div {GROUP} + 1 as int)").alias("mb"))
     rows = cut(held.join(top, "token"))
-    sets = full_sets(docs, rows.select(F.col("rep").alias("id")).distinct(), words, id_col, text_col).dropDuplicates(["id"])
     own = rows.select("token", "rep", "component", F.pmod(F.xxhash64("rep"), "gb").cast("int").alias("x"), F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("y"), F.lit(False).alias("asks"))
     out = rows.where("component <> top").select("token", "rep", "component", F.explode(F.sequence(F.lit(0), F.col("gb") - 1)).alias("x"), F.pmod(F.xxhash64("rep"), "mb").cast("int").alias("y"), F.lit(True).alias("asks"))
-    both = own.union(out).join(sets.withColumnRenamed("id", "rep").join(classes.select("rep", "sig"), "rep"), "rep")
+    both = own.union(out).join(classes.select("rep", "n", "sig"), "rep")
     kind = held.schema["rep"].dataType.simpleString()
 
+    def promising(t: pa.Table) -> tuple[np.ndarray, Iterator[tuple[int, np.ndarray]]]:
+        """The members, and for each that asks those (by their place) whose size and signature allow a link."""
+        asks, n, comp = np.asarray(t.column("asks")), np.asarray(t.column("n")), np.asarray(t.column("component"))
+        members = np.flatnonzero(~asks)
+        sig = np.asarray(t.column("sig").combine_chunks().flatten()).reshape(len(t), K)
+        theirs, sizes, homes = sig[members], n[members], comp[members]
+
+        def pairs() -> Iterator[tuple[int, np.ndarray]]:
+            for i in np.flatnonzero(asks).tolist():
+                near = np.flatnonzero((homes != comp[i]) & (100 * np.minimum(sizes, n[i]) >= percent * np.maximum(sizes, n[i])))
+                near = near[(theirs[near] == sig[i]).sum(axis=1) >= MATCHES]
+                if len(near):
+                    yield i, near
+
+        return members, pairs()
+
+    def hopeful(t: pa.Table) -> pa.Table:
+        """The rows of a block that take part in any promising pair."""
+        members, pairs = promising(t)
+        used = np.zeros(len(t), bool)
+        for i, near in pairs:
+            used[i] = True
+            used[members[near]] = True
+        return t.select(["token", "x", "y", "rep", "component", "asks", "n", "sig"]).filter(pa.array(used))
+
+    left = cut(both.groupBy("token", "x", "y").applyInArrow(hopeful, f"token bigint, x int, y int, rep {kind}, component {kind}, asks boolean, n bigint, sig array<int>"))
+    forget(rows)
+    sets = full_sets(docs, left.select(F.col("rep").alias("id")).distinct(), words, id_col, text_col).dropDuplicates(["id"])
+
     def run(t: pa.Table) -> pa.Table:
-        asks = np.asarray(t.column("asks"))
         rep, comp = np.asarray(t.column("rep")), np.asarray(t.column("component"))
         items = t.column("items").combine_chunks()
         off = np.asarray(items.offsets).astype(np.int64)
         code, vocabulary = pd.factorize(np.asarray(items.flatten()))
         off -= off[0]
         n = np.diff(off)
-        members = np.flatnonzero(~asks)
+        members, pairs = promising(t)
         flat = gather(code, off[members], n[members])
         begin = np.cumsum(n[members]) - n[members]
-        sig = np.asarray(t.column("sig").combine_chunks().flatten()).reshape(len(t), K)
-        theirs = sig[members]
         mark = np.zeros(len(vocabulary), np.int32)
         a, b = [], []
-        for i in np.flatnonzero(asks).tolist():
-            near = np.flatnonzero((comp[members] != comp[i]) & (100 * np.minimum(n[members], n[i]) >= percent * np.maximum(n[members], n[i])))
-            near = near[(theirs[near] == sig[i]).sum(axis=1) >= MATCHES]
-            if not len(near):
-                continue
+        for i, near in pairs:
             mine = code[off[i] : off[i + 1]]
             mark[mine] = 1
             size = n[members[near]]
@@ -216,8 +238,10 @@ def completed(held: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
         none = np.zeros(0, rep.dtype)
         return pa.table([pa.array(np.concatenate(a) if a else none), pa.array(np.concatenate(b) if b else none)], ["a", "b"])
 
-    links = both.groupBy("token", "x", "y").applyInArrow(run, f"a {kind}, b {kind}")
-    return cut(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    links = left.join(sets.withColumnRenamed("id", "rep"), "rep").groupBy("token", "x", "y").applyInArrow(run, f"a {kind}, b {kind}")
+    found = cut(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    forget(left)
+    return found
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -234,6 +258,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     # what is left: members of a posting in different components
     held = posts.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     held = cut(held.select("token", "rep", "component"))
+    forget(posts)
     second = completed(held, classes, docs, words, percent, id_col, text_col)
     if not second.isEmpty():
         old = comp
