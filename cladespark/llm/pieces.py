@@ -20,7 +20,7 @@ OTHER, LETTER, NUMBER, SPACE, END = 0, 1, 2, 3, 4
 #: The code points of White_Space.
 WHITE = [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: A text longer than this is cut before a lone blank between two words; no match spans such a place.
-SEGMENT = 1_000_000
+SEGMENT = 1 << 18
 SAFE = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -87,7 +87,7 @@ class PieceCoder:
     """Encodes lists of texts. ``words``: ids of each of a list of pattern matches; ``whole``: ids of any text; ``special``:
     strings that ``whole`` treats apart, if any. At most ``limit`` distinct words are held at a time."""
 
-    def __init__(self, words: Callable[[list[str]], list[list[int]]], whole: Callable[[str], list[int]], special: tuple[str, ...] = (), limit: int = 1_000_000) -> None:
+    def __init__(self, words: Callable[[list[str]], list[list[int]]], whole: Callable[[str], list[int]], special: tuple[str, ...] = (), limit: int = 400_000) -> None:
         self.words, self.whole, self.special, self.limit = words, whole, special, limit
         self.clear()
 
