@@ -39,6 +39,8 @@ K, MATCHES = 48, 28
 SALT_ROWS = 50_000
 #: Members of a posting in a block, when components that share it are compared.
 GROUP = 4000
+#: Shingles of either side of a block of full sets: 16 MB; a longer text is alone on its side.
+ITEMS = 2_000_000
 #: Ids to look up again that may be broadcast: 16 MB at most.
 BROADCAST_IDS = 1_000_000
 #: Bytes of text that are split into words at a time.
@@ -171,7 +173,7 @@ def completed(held: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
     """(a, b): confirmed links between components that share a posting of ``held(token, rep, component)``.
 
     Members outside a posting's largest component meet all its members, in blocks of both. Blocks of signatures come first; they
-    return the rows that any promising pair needs, and only these rows meet again with their full sets. A task returns one link
+    return the rows that any promising pair needs, and only these rows meet again with their full sets, in blocks of bounded size. A task returns one link
     for a member and a component, never the pairs it tried.
     """
     sizes = held.groupBy("token", "component").agg(F.count("*").alias("m"))
@@ -200,15 +202,25 @@ def completed(held: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
         return members, pairs()
 
     def hopeful(t: pa.Table) -> pa.Table:
-        """The rows of a block that take part in any promising pair."""
+        """The rows of a block that any promising pair needs, in smaller blocks of at most ``ITEMS`` shingles a side."""
         members, pairs = promising(t)
-        used = np.zeros(len(t), bool)
+        n = np.asarray(t.column("n"))
+        part = np.zeros(len(t), np.int64)  # askers and members are cut apart in turn, by their running size
+        for side in (members, np.flatnonzero(np.asarray(t.column("asks")))):
+            part[side] = np.cumsum(n[side]) // ITEMS
+        used: dict[tuple[int, int], np.ndarray] = {}
         for i, near in pairs:
-            used[i] = True
-            used[members[near]] = True
-        return t.select(["token", "x", "y", "rep", "component", "asks", "n", "sig"]).filter(pa.array(used))
-
-    left = cut(both.groupBy("token", "x", "y").applyInArrow(hopeful, f"token bigint, x int, y int, rep {kind}, component {kind}, asks boolean, n bigint, sig array<int>"))
+            their = members[near]
+            for q in np.unique(part[their]).tolist():
+                rows = used.setdefault((int(part[i]), q), np.zeros(len(t), bool))
+                rows[i] = True
+                rows[their[part[their] == q]] = True
+        slim = t.select(["token", "x", "y", "rep", "component", "asks", "n", "sig"])
+        out = [slim.filter(pa.array(rows)) for rows in used.values()]
+        z = [np.full(len(o), k, np.int32) for k, o in enumerate(out)]
+        return pa.concat_tables(out or [slim.slice(0, 0)]).append_column("z", pa.array(np.concatenate(z) if z else np.zeros(0, np.int32)))
+
+    left = cut(both.groupBy("token", "x", "y").applyInArrow(hopeful, f"token bigint, x int, y int, rep {kind}, component {kind}, asks boolean, n bigint, sig array<int>, z int"))
     forget(rows)
     sets = full_sets(docs, left.select(F.col("rep").alias("id")).distinct(), words, id_col, text_col).dropDuplicates(["id"])
 
@@ -238,7 +250,7 @@ def completed(held: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
         none = np.zeros(0, rep.dtype)
         return pa.table([pa.array(np.concatenate(a) if a else none), pa.array(np.concatenate(b) if b else none)], ["a", "b"])
 
-    links = left.join(sets.withColumnRenamed("id", "rep"), "rep").groupBy("token", "x", "y").applyInArrow(run, f"a {kind}, b {kind}")
+    links = left.join(sets.withColumnRenamed("id", "rep"), "rep").groupBy("token", "x", "y", "z").applyInArrow(run, f"a {kind}, b {kind}")
     found = cut(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     forget(left)
     return found

@@ -190,7 +190,9 @@ def test_minhash(spark, docs, none, texts, n):
     assert len(got) == docs.count() and minhash.near_duplicates(none, n, 80).count() == 0
 
 
-def test_minhash_family_near_the_threshold(spark):
+@pytest.mark.parametrize("items", [minhash.ITEMS, 150])
+def test_minhash_family_near_the_threshold(spark, monkeypatch, items):
+    monkeypatch.setattr(minhash, "ITEMS", items)
     rng = random.Random(4)
     base = [f"w{i}" for i in range(60)]
     texts = {}
