@@ -21,6 +21,8 @@ OTHER, LETTER, NUMBER, SPACE, END = 0, 1, 2, 3, 4
 WHITE = [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: A text longer than this is cut before a lone blank between two words; no match spans such a place.
 SEGMENT = 1 << 18
+#: Words that the dictionary of a coder holds before they settle.
+YOUNG = 1 << 16
 SAFE = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -85,17 +87,20 @@ def starts(cp: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 class PieceCoder:
     """Encodes lists of texts. ``words``: ids of each of a list of pattern matches; ``whole``: ids of any text; ``special``:
-    strings that ``whole`` treats apart, if any. At most ``limit`` distinct words are held at a time."""
+    strings that ``whole`` treats apart, if any. At most ``limit`` distinct words are held at a time,
+    and about 32 times as many code points of them."""
 
-    def __init__(self, words: Callable[[list[str]], list[list[int]]], whole: Callable[[str], list[int]], special: tuple[str, ...] = (), limit: int = 400_000) -> None:
+    def __init__(self, words: Callable[[list[str]], list[list[int]]], whole: Callable[[str], list[int]], special: tuple[str, ...] = (), limit: int = 600_000) -> None:
         self.words, self.whole, self.special, self.limit = words, whole, special, limit
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[int, int] = {}
+        self.index: dict[int, int] = {}  # rows of the words seen last, by hash
+        self.sorted, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # the others
+        self.count = 0
         self.used = np.zeros(2, np.int64)  # of ids, of code points
         self.ids, self.cps = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.uint32)
-        self.place = np.zeros((4, 1 << 12), np.int64)  # id start, ids, code point start, code points
+        self.place = np.zeros((4, 1 << 12), np.int32)  # id start, ids, code point start, code points
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text, in order; null counts as empty."""
@@ -132,10 +137,9 @@ class PieceCoder:
         code, keys = pd.factorize((total[e] - total[s]) * down[s])
         first = np.empty(len(keys), np.int64)
         first[code[::-1]] = np.arange(len(code))[::-1]
-        if len(self.index) + len(keys) > self.limit:
+        if self.count + len(keys) > self.limit or self.used[1] > 32 * self.limit:
             self.clear()
-        get = self.index.get
-        known = np.fromiter((get(k, -1) for k in keys.tolist()), np.int64, len(keys))
+        known = self.find(keys)
         new = np.flatnonzero(known < 0)
         if len(new):
             a, b = s[first[new]].tolist(), e[first[new]].tolist()
@@ -152,9 +156,31 @@ class PieceCoder:
             parts[i].append(ids[a:b])
         return []
 
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The row of each hash, or -1."""
+        known = np.full(len(keys), -1, np.int64)
+        if len(self.sorted):
+            order = np.argsort(keys)
+            at = np.empty(len(keys), np.int64)
+            at[order] = np.searchsorted(self.sorted[:-1], keys[order])  # in order, as near hashes lie near in memory
+            known = np.where(self.sorted[at] == keys, self.rows[at], known)
+        rest = np.flatnonzero(known < 0)
+        get = self.index.get
+        known[rest] = np.fromiter((get(k, -1) for k in keys[rest].tolist()), np.int64, len(rest))
+        return known
+
+    def settle(self) -> None:
+        """Moves the words seen last to the sorted arrays, which take 12 bytes a word where the dictionary takes over 100."""
+        n = len(self.index)
+        keys = np.concatenate([self.sorted, np.fromiter(self.index.keys(), np.uint64, n)])
+        rows = np.concatenate([self.rows, np.fromiter(self.index.values(), np.int32, n)])
+        order = np.argsort(keys, kind="stable")
+        self.sorted, self.rows = keys[order], rows[order]
+        self.index = {}
+
     def add(self, keys: list[int], words: list[str]) -> np.ndarray:
         ids = self.words(words)
-        n, at = np.fromiter(map(len, ids), np.int64, len(ids)), len(self.index)
+        n, at = np.fromiter(map(len, ids), np.int64, len(ids)), self.count
         flat = np.fromiter((x for row in ids for x in row), np.uint32, int(n.sum()))
         m = np.fromiter(map(len, words), np.int64, len(words))
         cps = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
@@ -170,6 +196,9 @@ class PieceCoder:
             self.used[k] += len(row)
         got = np.arange(at, at + len(ids))
         self.index.update(zip(keys, got.tolist(), strict=True))
+        self.count += len(got)
+        if len(self.index) > YOUNG:
+            self.settle()
         return got
 
 
@@ -198,7 +227,7 @@ def from_json(path: str) -> PieceCoder:
     t = Tokenizer.from_file(path)
     special = tuple(x.content for x in t.get_added_tokens_decoder().values())
     return PieceCoder(
-        lambda words: [e.ids for e in t.encode_batch_fast(words, add_special_tokens=False)],
+        lambda words: [e.ids for i in range(0, len(words), 2048) for e in t.encode_batch_fast(words[i : i + 2048], add_special_tokens=False)],
         lambda text: t.encode(text, add_special_tokens=False).ids,
         special,
     )

@@ -292,3 +292,14 @@ def test_pipeline(spark, tmp_path):
     left = {r.doc_id: r for r in docs.collect()}
     assert set(left) == {*range(30), 50, 51} and left[51].text.startswith("[assign] ") and left[51].n_chars == len(left[51].text)
     assert corpus_pipeline.run(spark, d).select("doc_id").distinct().count() == 32
+
+
+def test_settled_and_cleared_words_keep_their_ids(monkeypatch):
+    monkeypatch.setattr(pieces, "YOUNG", 40)
+    whole = pieces.from_json(TOKENIZER).whole
+    coder = pieces.PieceCoder(pieces.from_json(TOKENIZER).words, whole, limit=300)
+    rng = random.Random(8)
+    for _ in range(30):
+        texts = [" ".join(f"w{rng.randrange(400)}" for _ in range(40)), None, ""]
+        assert [x.tolist() for x in coder.encode(texts)] == [whole(t or "") for t in texts]
+    assert 0 < coder.count <= 300 and len(coder.sorted)
