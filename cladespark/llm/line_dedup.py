@@ -5,9 +5,10 @@ leaf is the token count and the ``LEADING`` first tokens. In a leaf, distinct li
 agree with most, at least a share ``SIMILAR`` and half of all places, and places that differ become variable. A template recurs if it stands in
 ``min_docs`` unrelated documents; every line of it but the first (by id) is dropped.
 
-Documents are unrelated if their least and greatest line differ: copies and near copies of one text, whose lines all recur
-together, are no evidence for a template, so a template must also have at least half as many unrelated documents as
-documents with different texts. Whole copies are for document dedup to find.
+Copies and near copies of one text, whose lines all recur together, are one family and no evidence for a template: families are
+the components of documents whose minhash signatures of ``WORDS``-word shingles (digits kept, so logs that differ in their numbers are unrelated)
+agree in ``RELATED`` of ``HASHES`` places. Documents are unrelated if their families differ; how many copies a family
+has does not matter. Whole copies are for document dedup to find.
 
 A leaf with more than ``LEAF`` distinct lines is split by its next tokens, and once more into single lines, so no task holds an
 unbounded leaf, and single lines still recur exactly. Blank lines and null or empty texts are left alone; a null text
@@ -23,12 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import cut, small_batches
+from ._util import components, cut, forget, small_batches
 from .fingerprints import mixed
 from .minhash import BLANK, BLOCK
 from .pieces import powers
 
 LEADING, SIMILAR, LEAF, MIN_DOCS = 2, 0.7, 2000, 4
+WORDS, HASHES, RELATED = 3, 16, 10
+#: Signature values held by more documents are matched by a broadcast of their leaders, the others by a shuffle.
+HOT = 1000
 #: Leaves or templates that may be broadcast: 16 MB at most.
 BROADCAST_ROWS = 500_000
 DIGIT = np.zeros(256, bool)
@@ -36,7 +40,7 @@ DIGIT[48:58] = True
 
 
 def parsed(raw: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Of every line with tokens: text number, line number, first token, end token; and of the tokens: their hashes, 0 if variable."""
+    """Of every line with tokens: text number, line number, first token, end token; and of the tokens: their hashes, 0 if variable, and their hashes with digits."""
     data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
     gap = BLANK[data]
     word = ~gap
@@ -48,6 +52,7 @@ def parsed(raw: list[bytes]) -> tuple[np.ndarray, ...]:
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
     h = mixed((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64)) | np.uint64(1)
     digits = np.append(0, np.cumsum(DIGIT[data], dtype=np.int64))
+    exact = h.copy()
     h[digits[end] > digits[start]] = 0
     breaks = np.flatnonzero(data == 10)  # each ends a line
     text_end = np.cumsum([len(r) + 1 for r in raw]) - 1
@@ -57,16 +62,29 @@ def parsed(raw: list[bytes]) -> tuple[np.ndarray, ...]:
     upto = np.searchsorted(start, breaks)
     a, b = np.append(0, upto[:-1]), upto
     some = b > a
-    return text_of[some], line_no[some], a[some], b[some], h
+    return text_of[some], line_no[some], a[some], b[some], h, exact
+
+
+def minima(exact: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """``HASHES`` minhashes, 32 bits each, of the shingles of every text; texts are adjoining runs of tokens."""
+    stop = np.repeat(end, end - start)
+    at = np.arange(start[0], end[-1])
+    s = np.zeros(len(at), np.uint64)
+    for k in range(WORDS):
+        inside = at + k < stop
+        s[inside] += exact[at[inside] + k] * np.uint64(2 * k + 0x9E3779B97F4A7C15)
+    s = mixed(s)
+    odd = mixed(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)
+    return np.stack([np.minimum.reduceat((s * k) ^ (s >> np.uint64(29)), start - start[0]) >> np.uint64(32) for k in odd], axis=1).astype("<u4")
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
-    """(id, th, line, leaf, key, family, toks) of every line with tokens; toks: 16 bits a token."""
+    """(id, th, line, leaf, key, family, toks, sig) of every line with tokens; toks: 16 bits a token; sig: on a text's first line only."""
     small_batches(docs.sparkSession)
-    names = ["id", "th", "line", "leaf", "key", "family", "toks"]
+    names = ["id", "th", "line", "leaf", "key", "family", "toks", "sig"]
 
     def block(ids: pa.Array, th: pa.Array, raw: list[bytes]) -> pa.RecordBatch:
-        text, line, a, b, h = parsed(raw)
+        text, line, a, b, h, exact = parsed(raw)
         n = b - a
         place = np.arange(len(h)) - np.repeat(a, n)
         salted = mixed(h + place.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
@@ -74,14 +92,20 @@ def line_rows(docs: DataFrame) -> DataFrame:
         key = mixed(sums[b] - sums[a] + n.astype(np.uint64))
         leaf = mixed(sums[np.minimum(a + LEADING, b)] - sums[a] + n.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
         family = np.zeros(len(text), np.uint64)
+        sig: list[bytes | None] = [None] * len(text)
         if len(text):
             at = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
-            low, high = np.minimum.reduceat(key, at), np.maximum.reduceat(key, at)
-            family = np.repeat(mixed(low * np.uint64(3) + high), np.diff(np.append(at, len(text))))
+            low = minima(exact, a[at], np.append(a[at[1:]], b[-1]))
+            whole = np.zeros(len(at), np.uint64)
+            for v in low.T:
+                whole = mixed(whole * np.uint64(3) + v)
+            family = np.repeat(whole, np.diff(np.append(at, len(text))))
+            for i, v in zip(at.tolist(), low, strict=True):
+                sig[i] = v.tobytes()
         short = (h & np.uint64(0xFFFF)).astype("<u2").tobytes()
         toks = pa.Array.from_buffers(pa.binary(), len(text), [None, pa.py_buffer(np.append(2 * a, 2 * len(h)).astype(np.int32)), pa.py_buffer(short)])
         pick = pa.array(text)
-        return pa.RecordBatch.from_arrays([ids.take(pick), th.take(pick), pa.array(line.astype(np.int32)), *[pa.array(v.view(np.int64)) for v in (leaf, key, family)], toks], names)
+        return pa.RecordBatch.from_arrays([ids.take(pick), th.take(pick), pa.array(line.astype(np.int32)), *[pa.array(v.view(np.int64)) for v in (leaf, key, family)], toks, pa.array(sig, pa.binary())], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
@@ -96,7 +120,7 @@ def line_rows(docs: DataFrame) -> DataFrame:
                 at = n
 
     src = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"), "text")
-    return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, th bigint, line int, leaf bigint, key bigint, family bigint, toks binary")
+    return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, th bigint, line int, leaf bigint, key bigint, family bigint, toks binary, sig binary")
 
 
 def templates(toks: np.ndarray) -> np.ndarray:
@@ -151,9 +175,35 @@ def bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def agreeing(a: str, b: str):
+    """The number of places in which two signatures, hexadecimal, agree."""
+    return F.expr(f"aggregate(sequence(0, {HASHES - 1}), 0, (t, i) -> t + if(substring({a}, 8 * i + 1, 8) = substring({b}, 8 * i + 1, 8), 1, 0))")
+
+
+def related(rows: DataFrame) -> DataFrame:
+    """(family, kin): the least family of each component of related ones; families without relations are left out.
+
+    Every family meets the least one of each value of its signature, so links grow with documents, never with pairs of them.
+    """
+    nodes = cut(rows.where("sig is not null").groupBy("family").agg(F.hex(F.min("sig")).alias("sig")))
+    value = F.explode(F.expr(f"transform(sequence(0, {HASHES - 1}), i -> xxhash64(i, substring(sig, 8 * i + 1, 8)))"))
+    posts = nodes.select("family", "sig", value.alias("value"))
+    lead = posts.groupBy("value").agg(F.min(F.struct("family", "sig")).alias("l"), F.count("*").alias("n")).where("n > 1")
+    lead = cut(lead.select("value", F.col("l.family").alias("kin"), F.col("l.sig").alias("other"), "n"))
+    hot = bounded(lead.where(F.col("n") > HOT))
+    cold = posts.join(hot.select("value"), "value", "left_anti").join(lead.where(F.col("n") <= HOT), "value")
+    met = cold.union(posts.join(hot, "value").select(*cold.columns)).where("family <> kin")
+    out = cut(components(met.where(agreeing("sig", "other") >= RELATED).selectExpr("family a", "kin b").distinct()).toDF("family", "kin"))
+    forget(nodes)
+    forget(lead)
+    return out
+
+
 def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, keep_first: bool = True) -> DataFrame:
     """(id, th, lines array<int>): numbers of the lines to drop, of documents that lose any."""
     rows = cut(line_rows(docs))
+    kin = bounded(related(rows))
+    rows = rows.drop("sig").join(kin, "family", "left").withColumn("family", F.coalesce("kin", "family")).drop("kin")
     leaves = rows.select("leaf", "family").distinct().groupBy("leaf").agg(F.count("*").alias("f")).where(F.col("f") >= min_docs).select("leaf")
     leaves = cut(leaves)
     held = cut(rows.join(bounded(leaves), "leaf"))
@@ -161,9 +211,8 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, keep_first: bool =
     named = cut(clustered(keys).where("key <> template"))
     lines = held.select("id", "th", "line", "key", "family").join(bounded(named), "key", "left").withColumn("template", F.coalesce("template", "key"))
     families = lines.select("template", "family").distinct().groupBy("template").agg(F.count("*").alias("f"))
-    texts = lines.select("template", "th").distinct().groupBy("template").agg(F.count("*").alias("d"))
     first = lines.groupBy("template").agg(F.min(F.struct("id", "th", "line")).alias("first"))
-    marked = families.where(F.col("f") >= min_docs).join(texts, "template").where("2 * f >= d").join(first, "template").select("template", "first")
+    marked = families.where(F.col("f") >= min_docs).join(first, "template").select("template", "first")
     gone = lines.join(bounded(cut(marked)), "template")
     if keep_first:
         gone = gone.where(~F.struct("id", "th", "line").eqNullSafe(F.col("first")))

@@ -244,6 +244,28 @@ def test_line_dedup(docs, none, texts):
     assert line_dedup.dedup_lines(none).count() == 0 and set(docs.columns) <= set(line_dedup.dedup_lines(docs).columns)
 
 
+def spelt(rng, n):
+    return " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+
+
+def test_line_dedup_with_copies(spark):
+    rng = random.Random(5)
+    law = "Licensed to you under the terms of the law"
+    base = [spelt(rng, 9) for _ in range(12)]
+    texts = {i: f"{spelt(rng, 20)}\n{law}" for i in range(6)}
+    for i in range(40):  # near copies: one word of one line differs
+        near = list(base)
+        near[i % 12] = " ".join([*near[i % 12].split(" ")[:8], spelt(rng, 1)])
+        texts[100 + i] = "\n".join([law, *near])
+    for i in range(6):  # logs: the same lines, other digits
+        texts[200 + i] = "\n".join(f"{w} worker {i}{rng.randrange(10**6)} joined queue {i}{rng.randrange(10**6)} at {i}{rng.randrange(10**6)}" for w in ("first", "second", "third"))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    out = {r.doc_id: r for r in line_dedup.dedup_lines(docs).collect()}
+    assert [out[i].n_dropped for i in range(6)] == [0, 1, 1, 1, 1, 1]
+    assert all(out[100 + i].text == texts[100 + i].split("\n", 1)[1] for i in range(40))
+    assert [out[200 + i].n_dropped for i in range(6)] == [0, 3, 3, 3, 3, 3]
+
+
 def test_line_templates():
     toks = np.array([[1, 2, 3, 4, 5], [1, 2, 3, 4, 9], [1, 2, 8, 4, 5], [1, 2, 7, 7, 7]], np.uint16)
     assert line_dedup.templates(toks).tolist() == [0, 0, 0, 1]
