@@ -10,8 +10,9 @@ the components of documents whose minhash signatures of ``WORDS``-word shingles
 agree in ``RELATED`` of ``HASHES`` places. Documents are unrelated if their families differ; how many copies a family
 has does not matter. Whole copies are for document dedup to find.
 
-A leaf with more than ``LEAF`` distinct lines is split by its next tokens, and once more into single lines, so no task holds an
-unbounded leaf, and single lines still recur exactly. Blank lines and null or empty texts are left alone; a null text
+A leaf with more than ``LEAF`` distinct lines is dealt by salt to parts of about that size. The parts' templates are then lines
+themselves, dealt anew until the leaf fits one task; where dealing stops merging them, every two parts meet, until no two
+templates merge. So no task holds an unbounded leaf, and lines generalise the same way at every size. Blank lines and null or empty texts are left alone; a null text
 stays null. Rows with equal id and text are one document. An empty table gives an empty result; all columns are kept.
 """
 
@@ -123,8 +124,8 @@ def line_rows(docs: DataFrame) -> DataFrame:
     return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, th bigint, line int, leaf bigint, key bigint, family bigint, toks binary, sig binary")
 
 
-def templates(toks: np.ndarray) -> np.ndarray:
-    """The template number of each line of one leaf; lines in the order given join the most similar template."""
+def generalised(toks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The template number of each line of one leaf, and the templates; lines in the order given join the most similar template."""
     out = np.empty(len(toks), np.int64)
     heads = np.empty_like(toks)
     count = 0
@@ -141,33 +142,79 @@ def templates(toks: np.ndarray) -> np.ndarray:
         heads[count] = toks[i]
         out[i] = count
         count += 1
-    return out
+    return out, heads[:count]
 
 
-def clustered(keys: DataFrame) -> DataFrame:
-    """(key, template) of the distinct lines (leaf, key, toks, w) that share a leaf with others."""
+def templates(toks: np.ndarray) -> np.ndarray:
+    """The template number of each line of one leaf."""
+    return generalised(toks)[0]
+
+
+def joined(lines: DataFrame, *by: str) -> DataFrame:
+    """(leaf, key, toks, w, template) of lines (leaf, key, toks, w), each group of ``by`` in one task. A template has the key of its first line,
+    which alone has the template's places and the weight of all its lines."""
 
     def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("w", "descending"), ("key", "ascending")])
+        t = t.select(["leaf", "key", "toks", "w"]).sort_by([("w", "descending"), ("key", "ascending")])
         raw = t.column("toks").to_pylist()
-        key = np.asarray(t.column("key"))
+        key, w = np.asarray(t.column("key")), np.asarray(t.column("w")).copy()
         out = key.copy()
         for size in {len(r) for r in raw}:  # one size, but for a collision of leaf hashes
             at = np.array([i for i, r in enumerate(raw) if len(r) == size])
-            which = templates(np.frombuffer(b"".join(raw[i] for i in at), "<u2").reshape(len(at), -1))
+            which, heads = generalised(np.frombuffer(b"".join(raw[i] for i in at), "<u2").reshape(len(at), -1))
             first = np.full(which.max() + 1, -1)
             first[which[::-1]] = at[::-1]
             out[at] = key[first[which]]
-        return pa.table([t.column("key"), pa.array(out)], ["key", "template"])
+            w[first] = np.bincount(which, w[at]).astype(np.int64)
+            for i, head in zip(first.tolist(), heads, strict=True):
+                raw[i] = head.tobytes()
+        return pa.table([t.column("leaf"), t.column("key"), pa.array(raw, pa.binary()), pa.array(w), pa.array(out)], ["leaf", "key", "toks", "w", "template"])
 
-    def sized(df: DataFrame, name: str) -> DataFrame:
-        return df.join(df.groupBy(name).agg(F.count("*").alias("m")), name)
+    return lines.groupBy(*by).applyInArrow(run, "leaf bigint, key bigint, toks binary, w bigint, template bigint")
 
-    one = sized(keys, "leaf")
-    two = one.where(F.col("m") > LEAF).drop("m").withColumn("leaf", F.xxhash64("leaf", F.expr(f"substring(toks, {2 * LEADING + 1}, 8)")))
-    two = sized(two, "leaf").where(F.col("m") <= LEAF)  # in a still larger one each line is its own template
-    groups = one.where((F.col("m") > 1) & (F.col("m") <= LEAF)).select("leaf", "key", "toks", "w").union(two.where("m > 1").select("leaf", "key", "toks", "w"))
-    return groups.groupBy("leaf").applyInArrow(run, "key bigint, template bigint")
+
+def sized(lines: DataFrame) -> DataFrame:
+    """``lines`` and m, the number of lines of their leaf."""
+    return lines.join(lines.groupBy("leaf").agg(F.count("*").alias("m")), "leaf")
+
+
+def met(lines: DataFrame) -> DataFrame:
+    """As ``joined``, of leaves of any size: every two parts of a leaf meet in a task; lines that some task joins to a line
+    which itself stays are then joined with all of that line's others."""
+    parts = F.expr(f"cast(2 * m div {LEAF} + 1 as int)")
+    dealt = lines.withColumns({"parts": parts, "p": F.pmod(F.xxhash64("key"), parts).cast("int")}).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.withColumns({"x": F.least("p", "q"), "y": F.greatest("p", "q")}).where("x < y")
+    links = cut(joined(dealt, "leaf", "x", "y").where("key <> template").groupBy("key").agg(F.min("template").alias("home")))
+    stay = links.join(links.select(F.col("key").alias("home")), "home", "left_anti")
+    homes = stay.select("key", "home").union(stay.select(F.col("home").alias("key"), "home")).distinct()
+    with_home = lines.join(homes, "key", "left").withColumn("home", F.coalesce("home", "key"))
+    return joined(with_home, "leaf", "home")
+
+
+def clustered(keys: DataFrame) -> DataFrame:
+    """(key, template) of the distinct lines (leaf, key, toks, w) that share a leaf with others."""
+    one = sized(keys).where("m > 1")
+    done = joined(one.where(F.col("m") <= LEAF), "leaf").select("key", "template")
+    now = cut(one.where(F.col("m") > LEAF))
+    total, before, maps = now.count(), None, []
+    while total:
+        salt = F.pmod(F.xxhash64("key", F.lit(len(maps))), F.expr(f"cast((m - 1) div {LEAF} + 1 as int)"))
+        dealing = before is None or 8 * total <= 7 * before
+        small = joined(now.where(F.col("m") <= LEAF), "leaf")
+        large = now.where(F.col("m") > LEAF)
+        out = cut(small.union(joined(large.withColumn("salt", salt), "leaf", "salt") if dealing else met(large)))
+        maps.append(out.where("key <> template").select("key", "template"))
+        heads = out.where("key = template").drop("template")
+        left = cut(sized(heads.join(large.select("leaf").distinct(), "leaf", "left_semi")))
+        stayed = left.count()
+        was = large.count()
+        if not dealing and stayed == was:  # every two parts have met and nothing merged
+            break
+        now, total, before = left, stayed, was
+    named = None
+    for links in reversed(maps):  # a line's template, that one's template, and so on
+        named = links if named is None else cut(links.join(named.toDF("template", "last"), "template", "left").select("key", F.coalesce("last", "template").alias("template")).union(named))
+    return done if named is None else done.union(named)
 
 
 def bounded(df: DataFrame) -> DataFrame:

@@ -266,6 +266,20 @@ def test_line_dedup_with_copies(spark):
     assert [out[200 + i].n_dropped for i in range(6)] == [0, 3, 3, 3, 3, 3]
 
 
+def test_line_dedup_of_a_large_leaf(spark, monkeypatch):
+    rng = random.Random(6)
+    docs = spark.createDataFrame([(i, f"{spelt(rng, 12)}\nThe session {spelt(rng, 1)} of the user was closed today") for i in range(line_dedup.LEAF + 200)], "doc_id long, text string")
+    out = line_dedup.dedup_lines(docs)
+    assert out.where("n_dropped = 1").count() == line_dedup.LEAF + 199
+    # many templates: parts meet by twos once dealing merges no more
+    monkeypatch.setattr(line_dedup, "LEAF", 6)
+    lines = np.array([[1, 2, *(100 * a + b for b in range(6)), 9000 + i] for a in range(1, 31) for i in range(2)], "<u2")
+    rows = [(1, i, bytearray(x.tobytes()), 1) for i, x in enumerate(lines)]
+    got = dict(line_dedup.clustered(spark.createDataFrame(rows, "leaf long, key long, toks binary, w long")).collect())
+    home = [got.get(i, i) for i in range(60)]
+    assert all(home[2 * a] == home[2 * a + 1] for a in range(30)) and len(set(home)) == 30
+
+
 def test_line_templates():
     toks = np.array([[1, 2, 3, 4, 5], [1, 2, 3, 4, 9], [1, 2, 8, 4, 5], [1, 2, 7, 7, 7]], np.uint16)
     assert line_dedup.templates(toks).tolist() == [0, 0, 0, 1]
