@@ -284,7 +284,16 @@ def column_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
  k as (select variant_id, pattern, row_number() over (partition by pattern order by cast(substr(variant_id, 7) as int), variant_id) - 1 as place, count(*) over (partition by pattern) as n from pt)
  select variant_id, cast(n as bigint) as n from k where n <= 3 or list_contains([cast(round_even(i * (n - 1) / 2.0, 0) as bigint) for i in range(0, 3)], place)""")
 def redundant_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = relation(spark, sf_dir, "brand_cells").where(F.col("sample_id").cast("int") <= 4)
+    return thinned_patterns(relation(spark, sf_dir, "brand_cells").where(F.col("sample_id").cast("int") <= 4))
+
+
+@query()
+def redundant_patterns_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``redundant_patterns`` over all samples; its SQL holds four."""
+    return thinned_patterns(relation(spark, sf_dir, "brand_cells"))
+
+
+def thinned_patterns(cells: DataFrame) -> DataFrame:
     pos = cells.select("variant_id", F.substring("variant_id", 7, 9).cast("int").alias("pos")).distinct()
     p = columns.patterns(cells).join(pos, "variant_id").withColumn("n", F.count("*").over(W.partitionBy("pattern")))
     return rounded(columns.even_pick(p.withColumn("size", F.col("n")), "pattern", ["pos", "variant_id"], 3).select("variant_id", F.col("size").alias("n")))
