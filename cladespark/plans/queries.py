@@ -379,6 +379,12 @@ def nearest_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(annotate.nearest(relation(spark, sf_dir, "places"), relation(spark, sf_dir, "regions").where("idx % 7 = 0")))
 
 
+@query()
+def nearest_region_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``nearest_region`` over all regions; its SQL holds a seventh."""
+    return rounded(annotate.nearest(relation(spark, sf_dir, "places"), relation(spark, sf_dir, "regions")))
+
+
 @query("with g as (select translate(upper(substr(text, 1, 60)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ ', 'ACGTACGTACGTACGTACGTACGTACG') as s, doc_id from documents where length(text) >= 60 and not regexp_matches(text, '[^ -~\\n]')), n as (select *, length(s) as n, doc_id % 60 + 1 as pos from g) select doc_id, substr(s || s || s, cast(n + pos - 10 as int), 21) as context, translate(reverse(s), 'ACGT', 'TGCA') as reverse from n")
 def circular_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").where("char_length(text) >= 60 and not text rlike '[^ -~\\n]'")
@@ -389,7 +395,7 @@ def circular_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def coding_annotation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cds = relation(spark, sf_dir, "regions").where("idx % 5 = 0").select("idx", "start", (F.col("start") + 9).alias("end"), F.when(F.col("idx") % 2 == 0, 1).otherwise(-1).alias("strand"), F.concat(F.lit("L"), "idx").alias("locus_tag"), F.lit("g").alias("gene"), F.lit("p").alias("product"))
+    cds = relation(spark, sf_dir, "regions").select("idx", "start", (F.col("start") + 9).alias("end"), F.when(F.col("idx") % 2 == 0, 1).otherwise(-1).alias("strand"), F.concat(F.lit("L"), "idx").alias("locus_tag"), F.lit("g").alias("gene"), F.lit("p").alias("product"))
     v = relation(spark, sf_dir, "places").withColumns({"ref": F.lit("A"), "alt": F.lit("C")})
     return rounded(annotate.annotate(v, cds, "ACGTTGCAGT" * 2001))
 
@@ -441,13 +447,13 @@ def prefiltered_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def bootstrap_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells, labels = association.align(relation(spark, sf_dir, "event_cells").where("variant_id like '%_1'"), relation(spark, sf_dir, "segment_labels"))
+    cells, labels = association.align(relation(spark, sf_dir, "event_cells"), relation(spark, sf_dir, "segment_labels"))
     return rounded(resample.bootstrap_validation(cells, labels, 3, SEED, 2))
 
 
 @query()
 def feature_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells, labels = association.align(relation(spark, sf_dir, "event_cells").where("variant_id like '%_2'"), relation(spark, sf_dir, "segment_labels"))
+    cells, labels = association.align(relation(spark, sf_dir, "event_cells"), relation(spark, sf_dir, "segment_labels"))
     s = association.statistics(association.contingency(cells, labels)).select("variant_id", "mi", "v")
     b = resample.bootstrap_validation(cells, labels, 2, SEED, 2).select("variant_id", "stability")
     return rounded(s.join(b, "variant_id").withColumn("confidence", association.confidence(F.col("mi"), F.col("stability"), F.col("v"))))
@@ -521,7 +527,7 @@ def nearest_neighbour_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def user_symbols(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     cells, labels = association.align(relation(spark, sf_dir, "event_cells"), relation(spark, sf_dir, "debt_labels"))
-    return cells.where("variant_id like '%_1'").select("sample_id", F.col("variant_id").alias("marker"), F.lit("1").alias("symbol")), labels
+    return cells.select("sample_id", F.col("variant_id").alias("marker"), F.lit("1").alias("symbol")), labels
 
 
 @query()

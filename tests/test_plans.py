@@ -23,3 +23,29 @@ def test_redundant_patterns_whole(spark, tables):
     tables(brand_cells=([(str(s), f"Brand#{v}", 1) for v, on in held.items() for s in on], "sample_id string, variant_id string, value int"))
     got = {r.variant_id: r.n for r in plans.QUERIES["redundant_patterns_whole"](spark, "").collect()}
     assert got == {"Brand#1": 4, "Brand#3": 4, "Brand#4": 4, "Brand#5": 1, "Brand#6": 1}
+
+
+EVENTS = ([(str(i), f"{kind}_{day}", 1) for i in range(40) for kind in ("view", "click") for day in (1, 2, 5, 30) if i * day % 7 < 4], "sample_id string, variant_id string, value int")
+
+
+def test_all_regions(spark, tables):
+    regions = [(i, 10 * i, 10 * i + 5) for i in range(1, 41)]
+    tables(places=([(f"v{p}", p) for p in range(1, 420, 3)], "variant_id string, pos int"), regions=(regions, "idx int, start int, end int"))
+    got = {r.variant_id: (r.nearest_idx, r.distance) for r in plans.QUERIES["nearest_region_whole"](spark, "").collect()}
+    for p in range(1, 420, 3):
+        distance, idx = min((min(abs(p - 1 - a), abs(p - 1 - b)), i) for i, a, b in regions)
+        assert got[f"v{p}"] == (idx, distance)
+    coding = {r.variant_id for r in plans.QUERIES["coding_annotation"](spark, "").where("rel_pos is not null").collect()}
+    assert coding == {f"v{p}" for p in range(1, 420, 3) if any(10 * i <= p - 1 < 10 * i + 9 for i in range(1, 41))}
+
+
+@pytest.mark.parametrize("name", ["bootstrap_validation", "feature_confidence"])
+def test_all_features(spark, tables, name):
+    tables(event_cells=EVENTS, segment_labels=([(str(i), "ab"[i % 2]) for i in range(40)], "sample_id string, label string"))
+    got = {r.variant_id for r in plans.QUERIES[name](spark, "").collect()}
+    assert {v.split("_")[1] for v in got} == {"1", "2", "5", "30"} and len(got) == 8
+
+
+def test_all_symbols(spark, tables):
+    tables(event_cells=EVENTS, debt_labels=([(str(i), "ab"[i % 2]) for i in range(40)], "sample_id string, label string"))
+    assert plans.user_symbols(spark, "")[0].select("marker").distinct().count() == 8
