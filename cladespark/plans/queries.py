@@ -131,6 +131,14 @@ def feature_synergy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(association.synergy(cells, labels, brand_pairs(spark, sf_dir)))
 
 
+@query()
+def feature_synergy_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``feature_synergy`` of all brand pairs; its SQL holds those with the same first digit."""
+    cells, labels = association.align(relation(spark, sf_dir, "brand_cells"), relation(spark, sf_dir, "segment_labels"))
+    brands = table(spark, sf_dir, "part").select("p_brand").distinct()
+    return rounded(association.synergy(cells, labels, brands.toDF("f1").join(brands.toDF("f2"), F.col("f1") < F.col("f2"))))
+
+
 @query()
 def interaction_permutation_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells, labels = association.align(relation(spark, sf_dir, "event_cells"), relation(spark, sf_dir, "segment_labels"))
@@ -393,6 +401,15 @@ def circular_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", fx.context(F.col("s"), F.col("doc_id") % 60 + 1, 10).alias("context"), fx.reverse_complement(F.col("s")).alias("reverse"))
 
 
+@query()
+def circular_context_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``circular_context`` of whole texts of any characters and length; its SQL holds 60 characters. Characters other than letters A to Z
+    and spaces stay as they are; empty and null texts have no place and are left out."""
+    s = F.translate(F.upper("text"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ ", "ACGTACGTACGTACGTACGTACGTACG")
+    d = table(spark, sf_dir, "documents").where("char_length(text) > 0").select("doc_id", s.alias("s"))
+    return d.select("doc_id", fx.context(F.col("s"), F.pmod("doc_id", F.length("s")) + 1, 10).alias("context"), fx.reverse_complement(F.col("s")).alias("reverse"))
+
+
 @query()
 def coding_annotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     cds = relation(spark, sf_dir, "regions").select("idx", "start", (F.col("start") + 9).alias("end"), F.when(F.col("idx") % 2 == 0, 1).otherwise(-1).alias("strand"), F.concat(F.lit("L"), "idx").alias("locus_tag"), F.lit("g").alias("gene"), F.lit("p").alias("product"))
@@ -552,8 +569,17 @@ def cluster_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(SITES + ", h as (select sample_id, concat_ws(':', chrom, cast(pos as varchar), ref, alt) as v from calls c join sites s using (chrom, pos, ref) where c.called = s.alt and chrom = 'A' and pos < 8), vs as (select distinct concat_ws(':', chrom, cast(pos as varchar), ref, alt) as v from sites where chrom = 'A' and pos < 8), smp as (select distinct sample_id from calls) select s.sample_id, string_agg(case when h.v is null then '0' else '1' end, '' order by vs.v) as seq from smp s cross join vs left join h on h.sample_id = s.sample_id and h.v = vs.v group by 1")
 def binary_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = call_table(spark, sf_dir)
-    s = calls.sites(c).where("chrom = 'A' and pos < 8")
+    return site_sequences(call_table(spark, sf_dir), "chrom = 'A' and pos < 8")
+
+
+@query()
+def binary_sequences_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``binary_sequences`` of all sites; its SQL holds a few."""
+    return site_sequences(call_table(spark, sf_dir))
+
+
+def site_sequences(c: DataFrame, held: str = "true") -> DataFrame:
+    s = calls.sites(c).where(held)
     dense = calls.dense_alleles(c, s).withColumn("bit", (F.split("variant_id", ":")[2] != F.col("base")).cast("int"))
     order = s.select(calls.variant_id().alias("variant_id")).withColumn("idx", F.col("variant_id"))
     return sinks.sequences(dense, order, "bit")

@@ -49,3 +49,33 @@ def test_all_features(spark, tables, name):
 def test_all_symbols(spark, tables):
     tables(event_cells=EVENTS, debt_labels=([(str(i), "ab"[i % 2]) for i in range(40)], "sample_id string, label string"))
     assert plans.user_symbols(spark, "")[0].select("marker").distinct().count() == 8
+
+
+def test_circular_context_whole(spark, tables):
+    texts = {0: "Été\tà la mer " * 9, 3: "abc", 77: "x" * 59 + "1234567890 and more"}
+    tables(documents=([*texts.items(), (5, ""), (6, None)], "doc_id long, text string"))
+    got = {r.doc_id: r for r in plans.QUERIES["circular_context_whole"](spark, "").collect()}
+    to = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ ", "ACGTACGTACGTACGTACGTACGTACG")
+    assert set(got) == set(texts)
+    for i, x in texts.items():
+        s = x.upper().translate(to)
+        assert got[i].context == "".join(s[(i % len(s) + k) % len(s)] for k in range(-10, 11))
+        assert got[i].reverse == s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+
+
+def test_feature_synergy_whole(spark, tables):
+    brands = ["Brand#11", "Brand#21", "Brand#32"]
+    cells = [(str(s), b, 1) for s in range(8) for k, b in enumerate(brands) if s >> k & 1]
+    labels = [(str(s), "ab"[(s ^ s >> 1) & 1]) for s in range(1, 8)] + [("0", "a")]
+    cells.append(("0", "Brand#none", 1))
+    tables(brand_cells=(cells, "sample_id string, variant_id string, value int"), segment_labels=(labels, "sample_id string, label string"), part=([(b,) for b in brands], "p_brand string"))
+    got = {(r.f1, r.f2): r.strength for r in plans.QUERIES["feature_synergy_whole"](spark, "").collect()}
+    assert set(got) == {("Brand#11", "Brand#21"), ("Brand#11", "Brand#32"), ("Brand#21", "Brand#32")} and got["Brand#11", "Brand#21"] == 0.693147
+
+
+def test_binary_sequences_whole(spark):
+    sf = "/root/testdata/sf0.001"
+    whole = plans.QUERIES["binary_sequences_whole"](spark, sf)
+    sites = plans.QUERIES["carrier_sites"](spark, sf)
+    n = plans.calls.sites(plans.call_table(spark, sf)).count()
+    assert {r.n for r in whole.select(F.length("seq").alias("n")).distinct().collect()} == {n} and n >= sites.count() > 8
