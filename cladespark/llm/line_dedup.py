@@ -3,7 +3,7 @@
 A line is a sequence of tokens (runs without ASCII white space); tokens with a digit are variable fields from the start. The tree's
 leaf is the token count and the ``LEADING`` first tokens. In a leaf, distinct lines join the template of whose fixed places they
 agree with most, at least a share ``SIMILAR`` and half of all places, and places that differ become variable. A template recurs if it stands in
-``min_docs`` unrelated documents; every line of it but the first (by id) is dropped.
+``min_docs`` unrelated documents, or in two if it has ``LONG`` tokens or more; every line of it but the first (by id) is dropped.
 
 Copies and near copies of one text, whose lines all recur together, are one family and no evidence for a template: families are
 the components of documents whose minhash signatures of ``WORDS``-word shingles (digits kept, so logs that differ in their numbers are unrelated)
@@ -34,6 +34,8 @@ LEADING, SIMILAR, LEAF, MIN_DOCS = 2, 0.7, 2000, 4
 WORDS, HASHES, RELATED = 3, 16, 10
 #: Signature values held by more documents are matched by a broadcast of their leaders, the others by a shuffle.
 HOT = 1000
+#: A line of so many tokens hardly repeats by chance, so fewer documents are enough.
+LONG, LONG_DOCS = 50, 2
 #: Leaves or templates that may be broadcast: 16 MB at most.
 BROADCAST_ROWS = 500_000
 DIGIT = np.zeros(256, bool)
@@ -246,20 +248,26 @@ def related(rows: DataFrame) -> DataFrame:
     return out
 
 
+def enough(min_docs: int):
+    """Whether ``f`` documents are enough for a line of ``n`` tokens."""
+    return F.col("f") >= F.when(F.col("n") >= LONG, F.lit(min(LONG_DOCS, min_docs))).otherwise(F.lit(min_docs))
+
+
 def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, keep_first: bool = True) -> DataFrame:
     """(id, th, lines array<int>): numbers of the lines to drop, of documents that lose any."""
     rows = cut(line_rows(docs))
     kin = bounded(related(rows))
     rows = rows.drop("sig").join(kin, "family", "left").withColumn("family", F.coalesce("kin", "family")).drop("kin")
-    leaves = rows.select("leaf", "family").distinct().groupBy("leaf").agg(F.count("*").alias("f")).where(F.col("f") >= min_docs).select("leaf")
+    rows = rows.withColumn("n", (F.octet_length("toks") / 2).cast("int"))
+    leaves = rows.select("leaf", "n", "family").distinct().groupBy("leaf").agg(F.count("*").alias("f"), F.max("n").alias("n")).where(enough(min_docs)).select("leaf")
     leaves = cut(leaves)
     held = cut(rows.join(bounded(leaves), "leaf"))
     keys = held.groupBy("leaf", "key").agg(F.count("*").alias("w"), F.min("toks").alias("toks"))
     named = cut(clustered(keys).where("key <> template"))
-    lines = held.select("id", "th", "line", "key", "family").join(bounded(named), "key", "left").withColumn("template", F.coalesce("template", "key"))
-    families = lines.select("template", "family").distinct().groupBy("template").agg(F.count("*").alias("f"))
+    lines = held.select("id", "th", "line", "key", "family", "n").join(bounded(named), "key", "left").withColumn("template", F.coalesce("template", "key"))
+    families = lines.select("template", "n", "family").distinct().groupBy("template").agg(F.count("*").alias("f"), F.max("n").alias("n"))
     first = lines.groupBy("template").agg(F.min(F.struct("id", "th", "line")).alias("first"))
-    marked = families.where(F.col("f") >= min_docs).join(first, "template").select("template", "first")
+    marked = families.where(enough(min_docs)).join(first, "template").select("template", "first")
     gone = lines.join(bounded(cut(marked)), "template")
     if keep_first:
         gone = gone.where(~F.struct("id", "th", "line").eqNullSafe(F.col("first")))

@@ -280,6 +280,15 @@ def test_line_dedup_of_a_large_leaf(spark, monkeypatch):
     assert all(home[2 * a] == home[2 * a + 1] for a in range(30)) and len(set(home)) == 30
 
 
+def test_line_dedup_of_long_lines(spark):
+    rng = random.Random(7)
+    passage, short = spelt(rng, 60), spelt(rng, 10)
+    texts = {i: f"{spelt(rng, 90)}\n{spelt(rng, 90)}\n{passage if i < 2 else short if i < 4 else spelt(rng, 60)}" for i in range(6)}
+    texts[6], texts[7] = texts[5], texts[5].replace(" ", "  ", 1)  # copies are no evidence
+    out = {r.doc_id: r.n_dropped for r in line_dedup.dedup_lines(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert out == {i: int(i == 1) for i in texts}
+
+
 def test_line_templates():
     toks = np.array([[1, 2, 3, 4, 5], [1, 2, 3, 4, 9], [1, 2, 8, 4, 5], [1, 2, 7, 7, 7]], np.uint16)
     assert line_dedup.templates(toks).tolist() == [0, 0, 0, 1]
