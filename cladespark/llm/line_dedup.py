@@ -274,10 +274,11 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, keep_first: bool =
     return gone.groupBy("id", "th").agg(F.array_distinct(F.collect_list("line")).alias("lines"))
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, keep_first: bool = True) -> DataFrame:
-    """All columns of ``docs``, ``text`` without its dropped lines, and n_lines and n_dropped; columns of these names are replaced."""
+def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, keep_first: bool = True, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """All columns of ``docs``, ``text`` without its dropped lines, and two ``counts``, of lines and of dropped ones; columns of these names
+    are replaced."""
     gone = dropped_lines(docs, min_docs, keep_first).toDF("__id", "__th", "__gone")
-    cols = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    cols = [c for c in docs.columns if c not in counts]
     src = docs.select(*[F.col(f"`{c}`") for c in cols]).withColumn("__h", F.xxhash64("text"))
     both = src.join(gone, src["doc_id"].eqNullSafe(gone["__id"]) & (src["__h"] == gone["__th"]), "left")
     lines = F.split("text", "\n", -1)
@@ -285,4 +286,4 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, keep_first: bool = Tr
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept)
     n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines))
     n_dropped = F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(F.size("__gone"))
-    return both.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in cols], n_lines.alias("n_lines"), n_dropped.alias("n_dropped"))
+    return both.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in cols], n_lines.alias(counts[0]), n_dropped.alias(counts[1]))

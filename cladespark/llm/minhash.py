@@ -14,8 +14,9 @@ a prefix posting is checked, so components are those of all confirmed links.
 
 Words are maximal runs of characters other than ASCII white space, A-Z in lower case. A text with fewer words than a shingle
 has one shingle, its word sequence. Null, empty and blank texts have no set, are linked with nothing and stand for
-themselves. Rows with a null id get a null component and are not kept; repeated ids share their component. An empty table gives an
-empty result; other columns are not read.
+themselves. A row is judged by its own text: rows of one id with different texts are not linked by the id. Rows without an id take part;
+they get the smallest id of their component, null if none has one, and are not kept. An empty table gives an empty result; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -110,35 +111,47 @@ def signature(x: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, n_shingles, key binary, sig array<int>) of every whole text; key: a 128-bit digest of its set."""
+    """(id, th, n_shingles, key binary, sig array<int>) of every whole text; th: its hash, key: a 128-bit digest of its set."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, key, sig = [], [], []
-            for x in shingle_sets(b.column(1).to_pylist(), words):
+            for x in shingle_sets(b.column(2).to_pylist(), words):
                 n.append(len(x))
-                key.append(hashlib.blake2b(x.tobytes(), digest_size=16).digest())
+                key.append(digest(x))
                 sig.append(signature(x))
             flat = pa.array(np.concatenate(sig) if sig else np.zeros(0, np.int32), pa.int32())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, K * len(sig) + 1, K, dtype=np.int32)), flat)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), lists], ["id", "n_shingles", "key", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(key, pa.binary()), lists], ["id", "th", "n_shingles", "key", "sig"])
 
-    src = only(docs, id_col, text_col)
-    return src.mapInArrow(run, f"id {src.schema[0].dataType.simpleString()}, n_shingles bigint, key binary, sig array<int>")
+    src = hashed(docs, id_col, text_col)
+    return src.mapInArrow(run, f"id {src.schema[0].dataType.simpleString()}, th bigint, n_shingles bigint, key binary, sig array<int>")
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, items array<bigint>) of the texts of ``ids``, from the texts again; of repeated ids one text, the largest."""
-    few = ids.count() <= BROADCAST_IDS
-    src = only(docs, id_col, text_col).toDF("id", "text").join(F.broadcast(ids) if few else ids, "id", "left_semi")
+def hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, th, text); th: a hash of the text."""
+    return only(docs, id_col, text_col).toDF("id", "text").select("id", F.xxhash64("text").alias("th"), "text")
+
+
+def digest(x: np.ndarray) -> bytes:
+    return hashlib.blake2b(x.tobytes(), digest_size=16).digest()
+
+
+def full_sets(docs: DataFrame, classes: DataFrame, reps: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """(rep, items array<bigint>) of the classes ``reps(rep)``, from the texts of their first rows again."""
+    wanted = cut(classes.select("rep", "key", F.col("at.id").alias("id"), F.col("at.th").alias("th")).join(reps, "rep", "left_semi"))
+    where = wanted.select("id", "th")
+    where = F.broadcast(where) if where.count() <= BROADCAST_IDS else where
+    src = hashed(docs, id_col, text_col).alias("d").join(where.alias("w"), F.col("d.th").eqNullSafe(F.col("w.th")) & F.col("d.id").eqNullSafe(F.col("w.id")), "left_semi").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [x.view(np.int64) for x in shingle_sets(b.column(1).to_pylist(), words)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "items"])
+            sets = list(shingle_sets(b.column(0).to_pylist(), words))
+            yield pa.RecordBatch.from_arrays([pa.array([digest(x) for x in sets], pa.binary()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["key", "items"])
 
-    return src.mapInArrow(run, f"id {src.schema[0].dataType.simpleString()}, items array<bigint>")
+    found = src.mapInArrow(run, "key binary, items array<bigint>").join(wanted.select("key", "rep"), "key")
+    return found.select("rep", "items").dropDuplicates(["rep"])
 
 
 def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
@@ -147,8 +160,7 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
     same = F.expr("aggregate(zip_with(sa, sb, (x, y) -> if(x = y, 1, 0)), 0, (t, x) -> t + x)")
     near = pairs.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b").where(same >= MATCHES).select("a", "b")
     near = cut(near)
-    sets = full_sets(docs, near.select(F.col("a").alias("id")).union(near.select("b")).distinct(), words, id_col, text_col).dropDuplicates(["id"])
-    sets = cut(sets)
+    sets = cut(full_sets(docs, classes, near.select(F.col("a").alias("rep")).union(near.select("b")).distinct(), words, id_col, text_col))
     both = near.join(sets.toDF("a", "ia"), "a").join(sets.toDF("b", "ib"), "b")
     common = F.size(F.array_intersect("ia", "ib"))
     out = cut(both.where(100 * common >= percent * (F.size("ia") + F.size("ib") - common)).select("a", "b"))
@@ -222,7 +234,7 @@ def completed(held: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
 
     left = cut(both.groupBy("token", "x", "y").applyInArrow(hopeful, f"token bigint, x int, y int, rep {kind}, component {kind}, asks boolean, n bigint, sig array<int>, z int"))
     forget(rows)
-    sets = full_sets(docs, left.select(F.col("rep").alias("id")).distinct(), words, id_col, text_col).dropDuplicates(["id"])
+    sets = full_sets(docs, classes, left.select("rep").distinct(), words, id_col, text_col)
 
     def run(t: pa.Table) -> pa.Table:
         rep, comp = np.asarray(t.column("rep")), np.asarray(t.column("component"))
@@ -250,17 +262,17 @@ def completed(held: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
         none = np.zeros(0, rep.dtype)
         return pa.table([pa.array(np.concatenate(a) if a else none), pa.array(np.concatenate(b) if b else none)], ["a", "b"])
 
-    links = left.join(sets.withColumnRenamed("id", "rep"), "rep").groupBy("token", "x", "y", "z").applyInArrow(run, f"a {kind}, b {kind}")
+    links = left.join(sets, "rep").groupBy("token", "x", "y", "z").applyInArrow(run, f"a {kind}, b {kind}")
     found = cut(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     forget(left)
     return found
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id, kept) of every row. Links: percent of shared shingles of at least ``percent``."""
+def grouped(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, th, n_shingles, component, least) of every row; component: a number, null for texts without a set; least: its smallest id."""
     sigs = cut(signatures(docs, words, id_col, text_col))
-    classes = cut(sigs.where("n_shingles > 0 and id is not null").groupBy("key").agg(F.min("id").alias("rep"), F.max("n_shingles").alias("n"), F.first("sig").alias("sig")))
-    # one id may stand for several sets where ids repeat; it is then one node
+    sets = sigs.where("n_shingles > 0").groupBy("key").agg(F.min(F.struct("id", "th")).alias("at"), F.min("id").alias("id"), F.max("n_shingles").alias("n"), F.first("sig").alias("sig"))
+    classes = cut(sets.withColumn("rep", F.monotonically_increasing_id()))  # numbers are fixed once written
     posts = cut(postings(classes))
     salts = F.expr(f"cast(freq div {SALT_ROWS} + 1 as int)")
     lead = posts.groupBy("token", "freq").agg(F.min(F.struct(F.xxhash64("rep", "token"), F.col("rep"))).alias("l")).select("token", F.col("l.rep").alias("leader"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
@@ -276,8 +288,40 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         old = comp
         comp = cut(components(first.union(second)))
         forget(old)
-    rep = classes.select("key", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component"))
-    out = sigs.join(rep, "key", "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("id"))
-    component = F.when(F.col("id").isNotNull(), component)
-    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+    of = comp.withColumnRenamed("node", "rep")
+    least = of.join(classes.select("rep", "id"), "rep").groupBy("component").agg(F.min("id").alias("least"))
+    home = classes.select("key", "rep", "id").join(of.join(least, "component"), "rep", "left")
+    home = home.select("key", F.coalesce("component", "rep").alias("component"), F.when(F.col("component").isNull(), F.col("id")).otherwise(F.col("least")).alias("least"))
+    return sigs.join(home, "key", "left").select("id", "th", "n_shingles", "component", "least")
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_shingles, component_id, kept) of every row. Links: percent of shared shingles of at least ``percent``."""
+    rows = grouped(docs, words, percent, id_col, text_col)
+    component = F.when(F.col("component").isNotNull(), F.col("least")).otherwise(F.col("id"))
+    return rows.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+
+
+def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs``, all columns, of each group of near-duplicates: that of the smallest id, or one without an id if none has one.
+    Of repeated rows, equal in id and text, one stays. Texts without a set all stay."""
+    rows = cut(grouped(docs, words, percent, id_col, text_col).where("component is not null"))
+    per = rows.groupBy("component", "id", "th").agg(F.count("*").alias("rows"))
+    first = rows.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("first"))
+    per = cut(per.join(first, "component").select("id", "th", "rows", (F.col("id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th"))).alias("stays")))
+    gone = per.where("not stays or rows > 1").select("id", "th")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    src = docs.withColumn("__th", F.xxhash64(F.col(f"`{text_col}`")))
+
+    def picked(some: DataFrame, how: str) -> DataFrame:
+        w = some.toDF("__i", "__t")
+        return src.join(w, (src["__th"] == w["__t"]) & src[id_col].eqNullSafe(w["__i"]), how)
+
+    out = picked(gone, "left_anti").select(*docs.columns)
+    again = per.where("stays and rows > 1").select("id", "th")
+    if again.isEmpty():
+        return out
+    columns = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    order = F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind])
+    one = picked(again, "left_semi").groupBy(F.col(f"`{id_col}`").alias("__i"), "__th").agg(F.min_by(columns, order).alias("__row"))
+    return out.union(one.select("__row.*"))

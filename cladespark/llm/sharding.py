@@ -1,7 +1,8 @@
 """Sharding by fixed virtual slots and a versioned slot-to-shard map.
 
 Records are hashed by id and content into a fixed number of slots. Bytes are summed for each slot, a table of constant size, and
-a greedy pass over it, heaviest slot first onto the lightest shard, gives version 1 of the map. Rebalancing edits the map:
+a greedy pass over it, heaviest slot first onto the lightest shard, gives version 1 of the map, which covers every slot, held or empty,
+so that later rows find theirs. ``write_map`` and ``read_map`` store the versions side by side. Rebalancing edits the map:
 the next version moves only as many slots as the new shard needs, and no others. All of it is DataFrame algebra; the
 greedy pass is one ``aggregate`` over the constant number of slots.
 
@@ -12,7 +13,7 @@ by id and text, so a third of all rows under one id but different texts still sp
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -28,9 +29,11 @@ def records(docs: DataFrame, slots: int = SLOTS, id_col: str = "doc_id", text_co
     return docs.select(F.col(id_col).alias("doc_id"), size.alias("size"), crc.alias("text_crc32")).withColumn("vslot", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(slots)).cast("int"))
 
 
-def slot_bytes(recs: DataFrame) -> DataFrame:
-    """(vslot, bytes, rows): at most one row a slot."""
-    return recs.groupBy("vslot").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
+def slot_bytes(recs: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """(vslot, bytes, rows): one row of every slot, 0 and 0 of empty ones."""
+    held = recs.groupBy("vslot").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
+    every = recs.sparkSession.range(slots).select(F.col("id").cast("int").alias("vslot"))
+    return every.join(held, "vslot", "left").fillna(0, ["bytes", "rows"])
 
 
 def first_map(totals: DataFrame, shards: int) -> DataFrame:
@@ -57,14 +60,33 @@ def grow(mapping: DataFrame, totals: DataFrame, shards: int) -> DataFrame:
     return out.select((F.col("version") + 1).alias("version"), "vslot", F.when(moved, F.lit(shards)).otherwise(F.col("shard")).alias("shard"))
 
 
+def write_map(mapping: DataFrame, path: str) -> None:
+    """Add a version to the stored map; a version that is there already is an error, as records may lie by it."""
+    mapping.select("version", "vslot", "shard").write.partitionBy("version").mode("append" if not stored(mapping, path) else "error").parquet(path)
+
+
+def stored(mapping: DataFrame, path: str) -> bool:
+    """Whether the map at ``path`` has the version of ``mapping``."""
+    spark, version = mapping.sparkSession, mapping.agg(F.max("version")).first()[0]
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/version={version}")
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def read_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """A version of the stored map, the latest by default."""
+    every = spark.read.schema("vslot int, shard int, version int").parquet(path)
+    version = every.agg(F.max("version")).first()[0] if version is None else version
+    return every.where(F.col("version") == version).select("version", "vslot", "shard")
+
+
 def shard(docs: DataFrame, shards: int, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text", mapping: DataFrame | None = None) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of every record; ``slot``: its place in the shard, from 0.
 
-    ``mapping``: a stored version of the map; else the first one is made. Places are counted within virtual slots, and each
+    ``mapping``: a stored version of the map, made with the same ``slots``; else the first one is made. Places are counted within virtual slots, and each
     slot starts where those before it in its shard end, so no task holds a whole shard.
     """
     recs = records(docs, slots, id_col, text_col)
-    totals = slot_bytes(recs)
+    totals = slot_bytes(recs, slots)
     mapping = first_map(totals, shards) if mapping is None else mapping
     before = W.partitionBy("shard").orderBy("vslot").rowsBetween(W.unboundedPreceding, -1)
     # one row a virtual slot: a constant bound, so it may be broadcast

@@ -348,3 +348,38 @@ def test_settled_and_cleared_words_keep_their_ids(monkeypatch):
         texts = [" ".join(f"w{rng.randrange(400)}" for _ in range(40)), None, ""]
         assert [x.tolist() for x in coder.encode(texts)] == [whole(t or "") for t in texts]
     assert 0 < coder.count <= 300 and len(coder.sorted)
+
+
+def test_sharding_by_a_stored_map(spark, docs, tmp_path):
+    few = docs.where("doc_id < 5")
+    totals = sharding.slot_bytes(sharding.records(few, 64), 64)
+    first = sharding.first_map(totals, 3)
+    assert first.count() == 64
+    path = str(tmp_path / "map")
+    sharding.write_map(first, path)
+    grown = sharding.grow(sharding.read_map(spark, path), totals, 3)
+    sharding.write_map(grown, path)
+    with pytest.raises(Exception, match="(?i)exists"):
+        sharding.write_map(grown, path)
+    old, new = sharding.read_map(spark, path, 1), sharding.read_map(spark, path)
+    assert {r.version for r in new.collect()} == {2} and old.count() == new.count() == 64
+    for m, n in ((old, 3), (new, 4)):  # rows that the map's maker never saw find their slots
+        p = sharding.shard(docs, n, 64, mapping=m).toPandas()
+        assert len(p) == docs.count() and all(sorted(x.slot) == list(range(len(x))) for _, x in p.groupby("shard"))
+
+
+def test_near_duplicates_of_repeated_and_missing_ids(spark):
+    rng = random.Random(9)
+    a, b, c = (spelt(rng, 40) for _ in range(3))
+    near = a.rsplit(" ", 1)[0] + " other"
+    rows = [(7, a), (7, b), (3, near), (7, b), (None, c), (None, c), (9, None), (9, None), (None, " "), (None, near), (5, f"{b} more")]
+    df = spark.createDataFrame([(i, t, "x", "x", k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, component string, key string, n int")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(df, 5).collect()), key=str)
+    n = lambda t: len(t.split()) - 4
+    want = [(7, n(a), 3, False), (7, n(b), 5, False), (3, n(near), 3, True), (7, n(b), 5, False), (None, n(c), None, False), (None, n(c), None, False), (9, 0, 9, True), (9, 0, 9, True), (None, 0, None, False), (None, n(near), 3, False), (5, n(b) + 1, 5, True)]
+    assert got == sorted(want, key=str)
+    kept = minhash.keep_one(df)
+    assert kept.columns == df.columns
+    left = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert left == sorted([(3, near), (5, f"{b} more"), (None, c), (9, None), (9, None), (None, " ")], key=str)
+    assert minhash.keep_one(df.limit(0)).count() == 0 and minhash.keep_one(kept).count() == 6
