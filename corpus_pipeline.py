@@ -13,9 +13,6 @@ from cladespark.llm import line_dedup, minhash, packing, secrets, toxicity
 from cladespark.llm._util import cut
 from cladespark.llm.queries import TOKENIZER, table, vocabulary
 
-#: Ids to drop that may be broadcast: 8 MB at most.
-BROADCAST_IDS = 1_000_000
-
 
 def recounted(docs: DataFrame, columns: list[str]) -> DataFrame:
     """The named columns, ``n_chars`` set to the text's code points."""
@@ -29,15 +26,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_template_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines of recurring templates; those that lose all their lines go."""
-    out = line_dedup.dedup_lines(docs)
-    return recounted(out.where("n_dropped = 0 or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'"), docs.columns)
+    out = line_dedup.dedup_lines(docs, counts=("__lines", "__dropped"))
+    return recounted(out.where((F.col("__dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")), docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the smallest id. Rows without an id stay."""
-    out = minhash.near_duplicates(docs, words=5, percent=80)
-    gone = cut(out.where("doc_id is not null and not kept").select("doc_id").distinct())
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near-duplicates: that of the smallest id; blank texts stay."""
+    return minhash.keep_one(docs, words=5, percent=80)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
