@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +44,24 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def trim() -> None:
+    """Give freed memory back to the system, as Python workers outlive their stage."""
+    pa.default_memory_pool().release_unused()
+    give = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give is not None:
+        give(0)
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over the batches of a task, with ``trim`` at the end."""
+
+    def whole(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        trim()
+
+    return whole
+
+
 def only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns alone, whatever else the table carries."""
     return df.select(*[F.col(f"`{n}`") for n in names])

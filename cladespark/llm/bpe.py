@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._util import only, small_batches
+from ._util import lean, only, small_batches
 from .pieces import encoding, from_ranks
 
 
@@ -30,7 +30,7 @@ def encode(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str =
 
     src = only(docs, id_col, text_col)
     kind = src.schema[0].dataType.simpleString()
-    return src.mapInArrow(run, f"id {kind}, ids binary").withColumnRenamed("id", id_col)
+    return src.mapInArrow(lean(run), f"id {kind}, ids binary").withColumnRenamed("id", id_col)
 
 
 def decode(coded: DataFrame, ranks: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -45,7 +45,7 @@ def decode(coded: DataFrame, ranks: str, id_col: str = "doc_id", ids_col: str =
 
     src = only(coded, id_col, ids_col)
     kind = src.schema[0].dataType.simpleString()
-    return src.mapInArrow(run, f"id {kind}, bytes binary").withColumnRenamed("id", id_col)
+    return src.mapInArrow(lean(run), f"id {kind}, bytes binary").withColumnRenamed("id", id_col)
 
 
 def digests(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -66,4 +66,4 @@ def digests(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str =
 
     src = only(docs, id_col, text_col)
     kind = src.schema[0].dataType.simpleString()
-    return src.mapInArrow(run, f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+    return src.mapInArrow(lean(run), f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)

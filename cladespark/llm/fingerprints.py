@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import only, small_batches
+from ._util import lean, only, small_batches
 
 #: Phrase names kept and weight, for each level from the first.
 LEVELS = ((8, 0.15), (16, 0.3), (24, 0.55))
@@ -163,7 +163,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.string())], ["id", "fingerprint"])
 
     src = only(docs, id_col, text_col)
-    return src.mapInArrow(run, f"id {src.schema[0].dataType.simpleString()}, fingerprint string").withColumnRenamed("id", id_col)
+    return src.mapInArrow(lean(run), f"id {src.schema[0].dataType.simpleString()}, fingerprint string").withColumnRenamed("id", id_col)
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -252,4 +252,4 @@ def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     kind = to_arrow_type(rows.schema["id"].dataType)
     schema = f"id {rows.schema['id'].dataType.simpleString()}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return rows.mapInArrow(run, schema).withColumnRenamed("id", "doc_id")
+    return rows.mapInArrow(lean(run), schema).withColumnRenamed("id", "doc_id")

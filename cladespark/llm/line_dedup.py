@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import components, cut, forget, small_batches
+from ._util import components, cut, forget, lean, small_batches
 from .fingerprints import mixed
 from .minhash import BLANK, BLOCK
 from .pieces import powers
@@ -123,7 +123,7 @@ def line_rows(docs: DataFrame) -> DataFrame:
                 at = n
 
     src = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"), "text")
-    return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, th bigint, line int, leaf bigint, key bigint, family bigint, toks binary, sig binary")
+    return src.mapInArrow(lean(run), f"id {src.schema['id'].dataType.simpleString()}, th bigint, line int, leaf bigint, key bigint, family bigint, toks binary, sig binary")
 
 
 def generalised(toks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

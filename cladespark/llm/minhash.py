@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import components, cut, forget, only, small_batches
+from ._util import components, cut, forget, lean, only, small_batches
 from .fingerprints import mixed
 from .pieces import gather, powers
 
@@ -126,7 +126,7 @@ def signatures(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataF
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(key, pa.binary()), lists], ["id", "th", "n_shingles", "key", "sig"])
 
     src = hashed(docs, id_col, text_col)
-    return src.mapInArrow(run, f"id {src.schema[0].dataType.simpleString()}, th bigint, n_shingles bigint, key binary, sig array<int>")
+    return src.mapInArrow(lean(run), f"id {src.schema[0].dataType.simpleString()}, th bigint, n_shingles bigint, key binary, sig array<int>")
 
 
 def hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -150,7 +150,7 @@ def full_sets(docs: DataFrame, classes: DataFrame, reps: DataFrame, words: int,
             sets = list(shingle_sets(b.column(0).to_pylist(), words))
             yield pa.RecordBatch.from_arrays([pa.array([digest(x) for x in sets], pa.binary()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["key", "items"])
 
-    found = src.mapInArrow(run, "key binary, items array<bigint>").join(wanted.select("key", "rep"), "key")
+    found = src.mapInArrow(lean(run), "key binary, items array<bigint>").join(wanted.select("key", "rep"), "key")
     return found.select("rep", "items").dropDuplicates(["rep"])
 
 

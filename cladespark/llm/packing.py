@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import only, small_batches
+from ._util import lean, only, small_batches
 from .pieces import from_json
 
 #: Documents dealt to a chunk; a task holds one row a document of it.
@@ -148,7 +148,7 @@ def measure(docs: DataFrame, tokenizer: str, end: int, length: int, id_col: str,
 
     src = only(docs, id_col, text_col)
     kind = src.schema[0].dataType.simpleString()
-    return src.mapInArrow(run, f"id {kind}, n_tokens bigint, crcs array<bigint>")
+    return src.mapInArrow(lean(run), f"id {kind}, n_tokens bigint, crcs array<bigint>")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end: int = 2, length: int = 1024, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:

@@ -9,6 +9,7 @@ reuse is compared with the word's code points, so a collision cannot change a re
 from __future__ import annotations
 
 import functools
+import os
 import re
 import unicodedata
 from collections.abc import Callable
@@ -43,9 +44,13 @@ def classes() -> tuple[np.ndarray, np.ndarray]:
     return kind, firm
 
 
-@functools.cache
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2**64."""
+    """Powers of an odd base and of its inverse modulo 2**64, at least ``n``; held for the next call unless they are many."""
+    return few_powers(max(n, 1 << 18)) if n <= 1 << 20 else few_powers.__wrapped__(n)
+
+
+@functools.cache
+def few_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     base = 0x9E3779B97F4A7C15
     out = []
     for x in (base, pow(base, -1, 2**64)):
@@ -88,9 +93,9 @@ def starts(cp: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class PieceCoder:
     """Encodes lists of texts. ``words``: ids of each of a list of pattern matches; ``whole``: ids of any text; ``special``:
     strings that ``whole`` treats apart, if any. At most ``limit`` distinct words are held at a time,
-    and about 32 times as many code points of them."""
+    and about 32 times as many code points of them; beyond that only the words stay that were met again since the last time."""
 
-    def __init__(self, words: Callable[[list[str]], list[list[int]]], whole: Callable[[str], list[int]], special: tuple[str, ...] = (), limit: int = 600_000) -> None:
+    def __init__(self, words: Callable[[list[str]], list[list[int]]], whole: Callable[[str], list[int]], special: tuple[str, ...] = (), limit: int = 300_000) -> None:
         self.words, self.whole, self.special, self.limit = words, whole, special, limit
         self.clear()
 
@@ -101,6 +106,7 @@ class PieceCoder:
         self.used = np.zeros(2, np.int64)  # of ids, of code points
         self.ids, self.cps = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.uint32)
         self.place = np.zeros((4, 1 << 12), np.int32)  # id start, ids, code point start, code points
+        self.again = np.zeros(1 << 12, bool)  # words that were met again
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text, in order; null counts as empty."""
@@ -138,8 +144,9 @@ class PieceCoder:
         first = np.empty(len(keys), np.int64)
         first[code[::-1]] = np.arange(len(code))[::-1]
         if self.count + len(keys) > self.limit or self.used[1] > 32 * self.limit:
-            self.clear()
+            self.thin()
         known = self.find(keys)
+        self.again[known[known >= 0]] = True
         new = np.flatnonzero(known < 0)
         if len(new):
             a, b = s[first[new]].tolist(), e[first[new]].tolist()
@@ -169,6 +176,29 @@ class PieceCoder:
         known[rest] = np.fromiter((get(k, -1) for k in keys[rest].tolist()), np.int64, len(rest))
         return known
 
+    def thin(self) -> None:
+        """Keeps the words that were met again, if they leave room; else none."""
+        self.settle()
+        kept = np.flatnonzero(self.again[: self.count])
+        ids, cps, place = self.ids, self.cps, self.place[:, kept]
+        keys, rows = self.sorted, self.rows
+        self.clear()
+        if 2 * len(kept) > self.limit or 2 * place[3].sum(dtype=np.int64) > 32 * self.limit:
+            return
+        number = np.full(len(rows), -1, np.int32)
+        number[kept] = np.arange(len(kept), dtype=np.int32)
+        stay = number[rows] >= 0
+        self.sorted, self.rows = keys[stay], number[rows[stay]]
+        self.count = len(kept)
+        for k, (name, flat) in enumerate((("ids", ids), ("cps", cps))):
+            at, n = place[2 * k], place[2 * k + 1]
+            held = gather(flat, at, n)
+            place[2 * k] = np.cumsum(n) - n
+            self.used[k] = len(held)
+            setattr(self, name, np.concatenate([held, np.zeros(1 << 16, np.uint32)]))
+        self.place = np.concatenate([place, np.zeros((4, 1 << 12), np.int32)], axis=1)
+        self.again = np.zeros(self.place.shape[1], bool)
+
     def settle(self) -> None:
         """Moves the words seen last to the sorted arrays, which take 12 bytes a word where the dictionary takes over 100."""
         n = len(self.index)
@@ -186,6 +216,7 @@ class PieceCoder:
         cps = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
         while self.place.shape[1] < at + len(ids):
             self.place = np.concatenate([self.place, np.zeros_like(self.place)], axis=1)
+            self.again = np.concatenate([self.again, np.zeros_like(self.again)])
         for k, (length, row) in enumerate(((n, flat), (m, cps))):
             name = ("ids", "cps")[k]
             while len(getattr(self, name)) < self.used[k] + len(row):
@@ -224,6 +255,7 @@ def from_json(path: str) -> PieceCoder:
     """By the tokenizers library and a tokenizer file with the byte-level pattern."""
     from tokenizers import Tokenizer
 
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     t = Tokenizer.from_file(path)
     special = tuple(x.content for x in t.get_added_tokens_decoder().values())
     return PieceCoder(

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._util import only, small_batches
+from ._util import lean, only, small_batches
 from .pieces import from_json
 
 #: Documents dealt to a chunk; a task holds their ids, two or four bytes each.
@@ -115,7 +115,7 @@ def packed_ids(docs: DataFrame, tokenizer: str, end: int = 50256, length: int =
 
     src = only(docs, id_col, text_col)
     k = src.schema[0].dataType.simpleString()
-    coded = src.mapInArrow(ids, f"id {k}, ids binary").withColumn("chunk", F.pmod(F.xxhash64("id", "ids"), F.lit(chunks)))
+    coded = src.mapInArrow(lean(ids), f"id {k}, ids binary").withColumn("chunk", F.pmod(F.xxhash64("id", "ids"), F.lit(chunks)))
     return coded.groupBy("chunk").applyInArrow(run, f"sequence_id bigint, n_tokens bigint, doc_ids array<{k}>, pieces array<int>, cu_seqlens array<int>, position_resets array<int>, input_ids binary")
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._util import only, small_batches
+from ._util import lean, only, small_batches, trim
 
 #: Rows of each label that the model is fitted on, at most.
 SAMPLE = 1536
@@ -120,7 +120,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             sets = [x.astype("<u4").tobytes() for x in feature_sets(b.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(sets, pa.binary())], ["id", "y", "f"])
 
-    got = sorted(text.mapInArrow(features, f"id {lab.schema['id'].dataType.simpleString()}, y int, f binary").collect(), key=lambda r: r.id)
+    got = sorted(text.mapInArrow(lean(features), f"id {lab.schema['id'].dataType.simpleString()}, y int, f binary").collect(), key=lambda r: r.id)
     return fit([np.frombuffer(r.f, "<u4") for r in got], np.array([r.y for r in got], int), share)
 
 
@@ -131,6 +131,7 @@ def scorer(model: Model):
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for text in parts:
             yield pd.Series([model.score(f) for f in feature_sets(text.tolist())], dtype="float64")
+        trim()
 
     return score
 

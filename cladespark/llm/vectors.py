@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import components, cut, only
+from ._util import components, cut, lean, only
 
 #: Vectors of a shard, about; shards of each vector; sampled vectors of a label that pivots are drawn from, and pivots, at most.
 SHARD, OVERLAP, SAMPLE, PIVOTS = 1500, 3, 4096, 65_536
@@ -205,7 +205,7 @@ def deal(classes: DataFrame, shard: int, overlap: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([t.column(2), t.column(3), pa.array(homes, pa.list_(pa.string())), t.column(4)], ["rep", "m", "homes", "v"])
 
     kind = classes.schema["rep"].dataType.simpleString()
-    dealt = classes.select("label", "dim", "rep", "m", "v").mapInArrow(run, f"rep {kind}, m bigint, homes array<string>, v array<double>")
+    dealt = classes.select("label", "dim", "rep", "m", "v").mapInArrow(lean(run), f"rep {kind}, m bigint, homes array<string>, v array<double>")
     return dealt.select(F.explode("homes").alias("shard"), "rep", "m", "homes", "v")
 
 
@@ -285,6 +285,6 @@ def recall(vectors: DataFrame, result: DataFrame, threshold: float = 0.93, every
             hit = (x @ y.T >= threshold) & (lab[:, None] == np.asarray(t.column(2))) & (ids[:, None] != np.asarray(t.column(0)))
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(hit.sum(axis=1))], ["vec_id", "n"])
 
-    truth = rows.mapInArrow(run, "vec_id bigint, n bigint").groupBy("vec_id").agg(F.sum("n").alias("n"))
+    truth = rows.mapInArrow(lean(run), "vec_id bigint, n bigint").groupBy("vec_id").agg(F.sum("n").alias("n"))
     got = truth.join(result.select("vec_id", "n_links"), "vec_id").agg(F.sum("n"), F.sum("n_links")).first()
     return float(got[1]) / got[0] if got[0] else 1.0
