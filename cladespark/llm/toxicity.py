@@ -120,8 +120,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             sets = [x.astype("<u4").tobytes() for x in feature_sets(b.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(sets, pa.binary())], ["id", "y", "f"])
 
-    got = sorted(text.mapInArrow(lean(features), f"id {lab.schema['id'].dataType.simpleString()}, y int, f binary").collect(), key=lambda r: r.id)
-    return fit([np.frombuffer(r.f, "<u4") for r in got], np.array([r.y for r in got], int), share)
+    got = text.mapInArrow(lean(features), f"id {lab.schema['id'].dataType.simpleString()}, y int, f binary").toArrow().sort_by("id")
+    model = fit([np.frombuffer(f.as_buffer(), "<u4") for f in got.column("f")], np.asarray(got.column("y"), int), share)
+    del got
+    trim()
+    return model
 
 
 def scorer(model: Model):
