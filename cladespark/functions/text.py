@@ -82,4 +82,5 @@ def number(x: Column) -> Column:
 
 def info_value(info: Column, key: str) -> Column:
     """The last value of a key in ``;``-separated text, null if there is none; cheaper than a map where few keys are needed."""
-    return F.nullif(F.regexp_extract(F.concat(F.lit(";"), info), f"^.*;{key}=([^;]*)", 1), F.lit(""))
+    after = F.substring_index(F.concat(F.lit(";"), info), f";{key}=", -1)  # the whole text, from its semicolon, without the key
+    return F.nullif(F.substring_index(after, ";", 1), F.lit(""))

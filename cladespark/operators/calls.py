@@ -13,8 +13,8 @@ SITE = ["chrom", "pos", "ref", "alt"]
 
 def parse_records(lines: DataFrame) -> DataFrame:
     """Records of ``lines(sample_id, line_no, value)``: comments, short lines and lines without a whole position are skipped."""
-    f = F.split("value", "\t")
-    rows = lines.where(~F.col("value").startswith("#")).withColumn("f", f).where("size(f) >= 8")
+    # exploding keeps Catalyst from copying the split into every filter and column that reads a field
+    rows = lines.where(~F.col("value").startswith("#")).select("sample_id", "line_no", F.explode(F.array(F.split("value", "\t", 11))).alias("f")).where("size(f) >= 8")
     get = lambda i: F.get("f", F.lit(i))
     return rows.select(
         "sample_id", "line_no", get(0).alias("chrom"), F.trim(get(1)).try_cast("int").alias("pos"), F.upper(F.trim(get(3))).alias("ref"),
@@ -35,10 +35,9 @@ def passes_qc(qual: Column, info: Column, least_qual: float = 30, depth: float =
     NaN fails no test but the one of depth, where it counts as 0.
     """
     at = lambda k: number(info_value(info, k))
-    low = lambda x, t: F.isnan(x) | (x >= t)
-    dp = at("DP")
-    dp = F.when(F.isnan(dp), 0.0).otherwise(F.floor(dp))
-    return low(number(qual), least_qual) & (dp >= depth) & low(at("MQ"), mapping) & (F.isnan(at("MQ0F")) | (at("MQ0F") <= zero))
+    depth_ok = F.floor(F.nanvl(at("DP"), F.lit(0.0))) >= depth
+    # NaN is the largest of numbers here
+    return (number(qual) >= least_qual) & depth_ok & (at("MQ") >= mapping) & (F.nanvl(at("MQ0F"), F.lit(zero)) <= zero)
 
 
 def called_allele(ref: Column, alts: Column, fmt: Column, smp: Column) -> Column:

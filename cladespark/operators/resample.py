@@ -100,17 +100,23 @@ def bootstrap_summary(importances: DataFrame, features: int) -> DataFrame:
     return r.select("variant_id", "mean", F.get("ci", F.lit(0)).alias("low"), F.get("ci", F.lit(1)).alias("high"), "stability", t_two_sided(t, F.col("b") - 1).alias("p"))
 
 
-def bootstrap_validation(cells: DataFrame, labels: DataFrame, replicates: int, seed: int, max_depth: int = 5, cut=None) -> DataFrame:
-    """Summaries of tree importances over replicates that all features share; replicates with one label are left out."""
-    from .tree import grow
+def bootstrap_validation(cells: DataFrame, labels: DataFrame, replicates: int, seed: int, max_depth: int = 5, cut=None, batch: int = 50, least_split: float = 2, least_leaf: float = 1) -> DataFrame:
+    """Summaries of tree importances over replicates that all features share; replicates with one label are left out.
+
+    ``batch`` replicates grow together: each level of their trees is one set of jobs."""
+    from .tree import grow_all
 
     spark = cells.sparkSession
-    weights = bootstrap(labels, replicates, seed)
-    features = [r.variant_id for r in cells.select("variant_id").distinct().collect()]  # selected features, as in a report
-    rows = []
-    for rep in range(replicates):
-        tree = grow(cells, labels, max_depth=max_depth, weights=weights.where(F.col("rep") == rep), cut=cut)
-        if len(tree.nodes[1].counts) > 1:
-            imp = tree.importances()
-            rows += [(rep, f, float(imp.get(f, 0.0))) for f in features]
-    return bootstrap_summary(spark.createDataFrame(rows, "rep int, variant_id string, importance double"), len(features))
+    draws = bootstrap(labels, replicates, seed).join(labels.select("sample_id", "label"), "sample_id")
+    features = cells.select("variant_id").distinct()
+    some: list[tuple[int, str, float]] = []
+    reps: list[tuple[int]] = []
+    for at in range(0, replicates, batch):
+        mine = draws.where(F.col("rep").between(at, at + batch - 1))
+        for rep, tree in grow_all(cells, mine, max_depth, least_split, least_leaf, cut).items():
+            if len(tree.nodes[1].counts) > 1:
+                reps.append((rep,))
+                some += [(rep, f, float(v)) for f, v in tree.importances().items()]
+    found = spark.createDataFrame(some, "rep int, variant_id string, importance double")  # at most one row a tree node
+    every = features.join(F.broadcast(spark.createDataFrame(reps, "rep int")))
+    return bootstrap_summary(every.join(found, ["rep", "variant_id"], "left").fillna(0.0, ["importance"]), features.count())

@@ -89,23 +89,37 @@ def naive_bayes(train: DataFrame, labels: DataFrame, query: DataFrame, alpha: fl
     return q.groupBy("sample_id", "label").agg((F.max("prior") + F.sum(term)).alias("score"))
 
 
+def profiles(cells: DataFrame) -> DataFrame:
+    """(sample_id, profile): a digest of a sample's markers and symbols."""
+    return cells.groupBy("sample_id").agg(F.sha2(F.to_json(F.sort_array(F.collect_list(F.struct("marker", "symbol")))), 256).alias("profile"))
+
+
 def nearest_neighbours(train: DataFrame, labels: DataFrame, query: DataFrame, k: int = 5) -> DataFrame:
-    """(sample_id, label, prob): distance-weighted votes of the k nearest training samples, one-hot Euclidean distance.
+    """(sample_id, label, prob): distance-weighted votes of the k nearest training samples, one-hot Euclidean distance, ties by sample.
 
-    Matching markers are counted by an equi-join on marker and symbol, so pairs without a match cost nothing; only samples
-    that share some symbol can be among the nearest unless fewer than k do."""
+    Samples with equal cells share a profile, and only distinct profiles are compared: by an equi-join on marker and symbol, so pairs
+    without a match cost nothing. The k nearest profiles hold the k nearest samples. Only samples that share some symbol can be
+    among the nearest unless fewer than k do."""
     t = train.withColumn("symbol", normal_symbol(F.col("symbol")))
     q = query.withColumn("symbol", normal_symbol(F.col("symbol")))
+    of_t, of_q = profiles(t), profiles(q)
+    members = of_t.withColumn("i", F.row_number().over(W.partitionBy("profile").orderBy("sample_id"))).where(F.col("i") <= k)
+    heads = members.where("i = 1").select("sample_id", F.col("profile").alias("near"))
+    asks = of_q.groupBy("profile").agg(F.min("sample_id").alias("sample_id"))
+    t1, q1 = t.join(heads, "sample_id").withColumnRenamed("sample_id", "first"), q.join(asks, "sample_id")
     markers = t.select("marker").distinct()
     known = t.select("marker", "symbol").distinct().withColumn("known", F.lit(1))
-    base = q.join(markers, "marker").join(known, ["marker", "symbol"], "left").groupBy("sample_id").agg(F.sum(F.when(F.col("known") == 1, 2).otherwise(1)).alias("most"))
-    same = q.select(F.col("sample_id").alias("qid"), "marker", "symbol").join(t, ["marker", "symbol"]).groupBy("qid", "sample_id").agg(F.count("*").alias("m"))
-    d = same.join(base.withColumnRenamed("sample_id", "qid"), "qid").withColumn("d2", F.col("most") - 2 * F.col("m"))
-    near = d.withColumn("place", F.row_number().over(W.partitionBy("qid").orderBy("d2", "sample_id"))).where(F.col("place") <= k)
-    exact = F.min("d2").over(W.partitionBy("qid")) == 0
+    base = q1.join(markers, "marker").join(known, ["marker", "symbol"], "left").groupBy("profile").agg(F.sum(F.when(F.col("known") == 1, 2).otherwise(1)).alias("most"))
+    same = q1.select("profile", "marker", "symbol").join(t1, ["marker", "symbol"]).groupBy("profile", "near").agg(F.count("*").alias("m"), F.min("first").alias("first"))
+    d = same.join(base, "profile").withColumn("d2", F.col("most") - 2 * F.col("m"))
+    close = d.withColumn("place", F.row_number().over(W.partitionBy("profile").orderBy("d2", "first"))).where(F.col("place") <= k).select("profile", "near", "d2")
+    near = close.join(members.select(F.col("profile").alias("near"), "sample_id"), "near")
+    near = near.withColumn("place", F.row_number().over(W.partitionBy("profile").orderBy("d2", "sample_id"))).where(F.col("place") <= k)
+    exact = F.min("d2").over(W.partitionBy("profile")) == 0
     weight = F.when(exact, (F.col("d2") == 0).cast("double")).otherwise(1 / F.sqrt(F.col("d2")))
-    votes = near.withColumn("w", weight).join(labels, "sample_id").groupBy("qid", "label").agg(F.sum("w").alias("w"))
-    return votes.select(F.col("qid").alias("sample_id"), "label", (F.col("w") / F.sum("w").over(W.partitionBy("qid"))).alias("prob"))
+    votes = near.withColumn("w", weight).join(labels, "sample_id").groupBy("profile", "label").agg(F.sum("w").alias("w"))
+    shares = votes.select("profile", "label", (F.col("w") / F.sum("w").over(W.partitionBy("profile"))).alias("prob"))
+    return of_q.join(shares, "profile").select("sample_id", "label", "prob")
 
 
 def match_features(profile: DataFrame, trained: DataFrame) -> DataFrame:

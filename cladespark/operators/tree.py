@@ -1,4 +1,6 @@
-"""Exact decision trees on binary features, grown level by level with grouped counts; the driver holds only the tree."""
+"""Exact decision trees on binary features, grown level by level with grouped counts; the driver holds only the trees.
+
+Trees of many replicates grow together, so a level costs a few jobs however many trees there are."""
 
 from __future__ import annotations
 
@@ -14,8 +16,11 @@ class Node:
     depth: int
     n: float
     counts: dict[str, float]
+    parent: int = 0
     feature: str | None = None
     gain: float = 0.0
+    left: int = 0  # children by feature value 0 and 1
+    right: int = 0
 
 
 @dataclass
@@ -23,9 +28,9 @@ class Tree:
     nodes: dict[int, Node] = field(default_factory=dict)
 
     def rows(self, spark: SparkSession) -> DataFrame:
-        """(node_id, depth, variant_id, n, gain, label): variant_id is null in leaves, label is the majority."""
-        data = [(x.node_id, x.depth, x.feature, float(x.n), float(x.gain), min(x.counts, key=lambda k: (-x.counts[k], k)) if x.counts else None) for x in self.nodes.values()]
-        return spark.createDataFrame(data, "node_id long, depth int, variant_id string, n double, gain double, label string")
+        """(node_id, depth, variant_id, left, right, n, gain, label): variant_id is null in leaves, label is the majority."""
+        data = [(x.node_id, x.depth, x.feature, x.left, x.right, float(x.n), float(x.gain), majority(x)) for x in self.nodes.values()]
+        return spark.createDataFrame(data, "node_id long, depth int, variant_id string, left long, right long, n double, gain double, label string")
 
     def rules(self) -> str:
         out: list[str] = []
@@ -34,13 +39,17 @@ class Tree:
             x = self.nodes[i]
             pad = "|   " * x.depth + "|--- "
             if x.feature is None:
-                out.append(f"{pad}class: {min(x.counts, key=lambda k: (-x.counts[k], k))}")
+                out.append(f"{pad}class: {majority(x)}")
                 return
-            for side, sign in ((2 * i, "<="), (2 * i + 1, "> ")):
-                out.append(f"{pad}{x.feature} {sign} 0.50")
-                walk(side)
-
-        walk(1)
+            stack.append((x.right, f"{pad}{x.feature} >  0.50"))
+            stack.append((x.left, f"{pad}{x.feature} <= 0.50"))
+
+        stack: list[tuple[int, str]] = [(1, "")]
+        while stack:
+            i, line = stack.pop()
+            if line:
+                out.append(line)
+            walk(i)
         return "\n".join(out)
 
     def roots_and_branches(self) -> tuple[list[str], list[str]]:
@@ -66,76 +75,96 @@ class Tree:
         out = []
         for x in self.nodes.values():
             if x.feature is not None and x.node_id > 1:
-                out.append((self.nodes[x.node_id // 2].feature, x.feature, float(x.n), x.depth + 1, "pairwise" if x.depth == 1 else "conditional"))
+                out.append((self.nodes[x.parent].feature, x.feature, float(x.n), x.depth + 1, "pairwise" if x.depth == 1 else "conditional"))
         return out
 
 
+def majority(x: Node) -> str | None:
+    """The commonest label of a node; of equals the first by name."""
+    return min(x.counts, key=lambda k: (-x.counts[k], k)) if x.counts else None
+
+
 def split_scores(cells: DataFrame, assign: DataFrame, features: DataFrame | None = None) -> DataFrame:
-    """(node_id, variant_id, n, n1, gini, child): impurity of nodes and of the split by each feature; ``assign``: (sample_id, label, node_id, w)."""
-    totals = assign.groupBy("node_id", "label").agg(F.sum("w").alias("t"))
-    ones = cells.where("value = 1").join(assign, "sample_id").groupBy("node_id", "variant_id", "label").agg(F.sum("w").alias("o"))
+    """(node_id, variant_id, n, n1, gini, child): impurity of nodes and of the split by each feature; ``assign``: (sample_id, label, node_id, w),
+    and rep where several trees grow together, which the result then has too."""
+    by = [c for c in ("rep", "node_id") if c in assign.columns]
+    totals = assign.groupBy(*by, "label").agg(F.sum("w").alias("t"))
+    ones = cells.where("value = 1").select("sample_id", "variant_id").join(assign, "sample_id").groupBy(*by, "variant_id", "label").agg(F.sum("w").alias("o"))
     if features is not None:
         ones = ones.join(features.select("variant_id").distinct(), "variant_id", "left_semi")
-    grid = ones.select("node_id", "variant_id").distinct().join(totals, "node_id").join(ones, ["node_id", "variant_id", "label"], "left").withColumn("o", F.coalesce("o", F.lit(0.0)))
+    grid = ones.select(*by, "variant_id").distinct().join(totals, by).join(ones, [*by, "variant_id", "label"], "left").withColumn("o", F.coalesce("o", F.lit(0.0)))
     z = F.col("t") - F.col("o")
-    s = grid.groupBy("node_id", "variant_id").agg(F.sum("t").alias("n"), F.sum("o").alias("n1"), F.sum(z).alias("n0"), F.sum(F.col("t") * F.col("t")).alias("tt"), F.sum(F.col("o") * F.col("o")).alias("oo"), F.sum(z * z).alias("zz"))
+    s = grid.groupBy(*by, "variant_id").agg(F.sum("t").alias("n"), F.sum("o").alias("n1"), F.sum(z).alias("n0"), F.sum(F.col("t") * F.col("t")).alias("tt"), F.sum(F.col("o") * F.col("o")).alias("oo"), F.sum(z * z).alias("zz"))
     s = s.where("n0 > 0 and n1 > 0")
     child = ((F.col("n0") - F.col("zz") / F.col("n0")) + (F.col("n1") - F.col("oo") / F.col("n1"))) / F.col("n")
-    return s.select("node_id", "variant_id", "n", "n1", (1 - F.col("tt") / (F.col("n") * F.col("n"))).alias("gini"), child.alias("child"))
+    return s.select(*by, "variant_id", "n", "n1", (1 - F.col("tt") / (F.col("n") * F.col("n"))).alias("gini"), child.alias("child"))
 
 
 def best_splits(scores: DataFrame, least_leaf: float = 1) -> DataFrame:
     """The best split of each node; of equal ones the first feature by name. Splits without gain are allowed."""
     fit = scores.where((F.col("n1") >= least_leaf) & (F.col("n") - F.col("n1") >= least_leaf) & (F.col("gini") > 0))
-    return fit.groupBy("node_id").agg(F.min(F.struct(F.round("child", 12).alias("child"), "variant_id", "n", "gini")).alias("s")).select("node_id", "s.*")
+    by = [c for c in ("rep", "node_id") if c in scores.columns]
+    return fit.groupBy(*by).agg(F.min(F.struct(F.round("child", 12).alias("child"), "variant_id", "n", "gini")).alias("s")).select(*by, "s.*")
+
+
+#: Nodes of a level that may be broadcast: some 50 bytes each.
+BROADCAST_NODES = 200_000
 
 
 def grow(cells: DataFrame, labels: DataFrame, max_depth: int | None = None, least_split: float = 2, least_leaf: float = 1, weights: DataFrame | None = None, cut=None) -> Tree:
     """A tree on sparse 0/1 cells. ``weights``: (sample_id, w); ``cut``: ends lineage each level (default: checkpoint if a folder is set)."""
-    assign = labels.select("sample_id", "label", F.lit(1).cast("bigint").alias("node_id"))
-    assign = assign.join(weights.select("sample_id", "w"), "sample_id") if weights is not None else assign.withColumn("w", F.lit(1.0))
+    samples = labels.select("sample_id", "label")
+    samples = samples.join(weights.select("sample_id", "w"), "sample_id") if weights is not None else samples.withColumn("w", F.lit(1.0))
+    return grow_all(cells, samples.withColumn("rep", F.lit(0)), max_depth, least_split, least_leaf, cut).get(0, Tree())
+
+
+def grow_all(cells: DataFrame, samples: DataFrame, max_depth: int | None = None, least_split: float = 2, least_leaf: float = 1, cut=None) -> dict[int, Tree]:
+    """A tree of each replicate in ``samples(rep, sample_id, label, w)``, all level by level in the same jobs."""
     spark = cells.sparkSession
     end = cut or (lambda df: df.checkpoint() if spark.sparkContext.getCheckpointDir() else df.persist())
-    tree, depth, live = Tree(), 0, True
-    while live:
+    assign = samples.select("rep", "sample_id", "label", F.lit(1).cast("bigint").alias("node_id"), "w")
+    hit = cells.where("value = 1").select("sample_id", "variant_id", F.lit(1).alias("one"))
+    trees: dict[int, Tree] = {}
+    parents: dict[tuple[int, int], int] = {}
+    depth = 0
+    while True:
         assign = end(assign)
-        for r in _totals(assign):
-            tree.nodes[r["node_id"]] = Node(r["node_id"], depth, sum(r["c"].values()), r["c"])
-        splittable = [i for i, x in tree.nodes.items() if x.depth == depth and x.n >= least_split and len([c for c in x.counts.values() if c > 0]) > 1]
-        live = bool(splittable) and (max_depth is None or depth < max_depth)
-        if not live:
-            break
-        open_ = assign.where(F.col("node_id").isin(splittable)) if len(splittable) <= 1000 else assign
-        chosen = {r.node_id: r for r in best_splits(split_scores(cells, open_), least_leaf).collect() if r.node_id in set(splittable)}
-        if not chosen:
-            break
-        for i, r in chosen.items():
-            tree.nodes[i].feature, tree.nodes[i].gain = r.variant_id, r.gini - r.child
-        picks = spark.createDataFrame([(i, r.variant_id) for i, r in chosen.items()], "node_id long, variant_id string")
-        down = assign.join(F.broadcast(picks), "node_id")  # one row a node of this level
-        hit = cells.where("value = 1").select("sample_id", "variant_id", F.lit(1).alias("one"))
-        assign = down.join(hit, ["sample_id", "variant_id"], "left").select("sample_id", "label", (2 * F.col("node_id") + F.coalesce("one", F.lit(0))).alias("node_id"), "w")
+        totals: dict[tuple[int, int], dict[str, float]] = {}  # as many rows as nodes times labels
+        for r in assign.groupBy("rep", "node_id", "label").agg(F.sum("w").alias("t")).collect():
+            totals.setdefault((r.rep, r.node_id), {})[r.label] = r.t
+        for (rep, i), c in totals.items():
+            trees.setdefault(rep, Tree()).nodes[i] = Node(i, depth, sum(c.values()), c, parents.get((rep, i), 0))
+        alive = {k for k, c in totals.items() if sum(c.values()) >= least_split and len([v for v in c.values() if v > 0]) > 1}
+        if not alive or (max_depth is not None and depth >= max_depth):
+            return trees
+        best = [r for r in best_splits(split_scores(cells, assign), least_leaf).collect() if (r.rep, r.node_id) in alive]
+        if not best:
+            return trees
+        last = {rep: max(t.nodes) for rep, t in trees.items()}
+        picks, parents = [], {}
+        for r in sorted(best, key=lambda r: (r.rep, r.node_id)):
+            x = trees[r.rep].nodes[r.node_id]
+            x.feature, x.gain = r.variant_id, r.gini - r.child
+            x.left, x.right = last[r.rep] + 1, last[r.rep] + 2
+            last[r.rep] += 2
+            parents[r.rep, x.left] = parents[r.rep, x.right] = r.node_id
+            picks.append((r.rep, r.node_id, r.variant_id, x.left, x.right))
+        chosen = spark.createDataFrame(picks, "rep int, node_id long, variant_id string, left long, right long")
+        down = assign.join(F.broadcast(chosen) if len(picks) <= BROADCAST_NODES else chosen, ["rep", "node_id"])
+        assign = down.join(hit, ["sample_id", "variant_id"], "left").select("rep", "sample_id", "label", F.when(F.col("one") == 1, F.col("right")).otherwise(F.col("left")).alias("node_id"), "w")
         depth += 1
-    return tree
-
-
-def _totals(assign: DataFrame) -> list[dict]:
-    """Label weights of each node: as many rows as nodes times labels."""
-    out: dict[int, dict[str, float]] = {}
-    for r in assign.groupBy("node_id", "label").agg(F.sum("w").alias("t")).collect():
-        out.setdefault(r.node_id, {})[r.label] = r.t
-    return [{"node_id": k, "c": v} for k, v in out.items()]
 
 
 def predict(tree: Tree, cells: DataFrame, samples: DataFrame) -> DataFrame:
     """(sample_id, label) by walking the tree one level a join."""
     spark = cells.sparkSession
-    rows = F.broadcast(tree.rows(spark))
+    rows = tree.rows(spark)
+    rows = F.broadcast(rows) if len(tree.nodes) <= BROADCAST_NODES else rows
     hit = cells.where("value = 1").select("sample_id", "variant_id", F.lit(1).alias("one"))
     now = samples.select("sample_id", F.lit(1).cast("bigint").alias("node_id"))
     for _ in range(max(x.depth for x in tree.nodes.values())):
-        step = now.join(rows.select("node_id", "variant_id"), "node_id").join(hit, ["sample_id", "variant_id"], "left")
-        now = step.select("sample_id", F.when(F.col("variant_id").isNull(), F.col("node_id")).otherwise(2 * F.col("node_id") + F.coalesce("one", F.lit(0))).alias("node_id"))
+        step = now.join(rows.select("node_id", "variant_id", "left", "right"), "node_id").join(hit, ["sample_id", "variant_id"], "left")
+        now = step.select("sample_id", F.when(F.col("variant_id").isNull(), F.col("node_id")).when(F.col("one") == 1, F.col("right")).otherwise(F.col("left")).alias("node_id"))
     return now.join(rows.select("node_id", "label"), "node_id").select("sample_id", "label")
 
 

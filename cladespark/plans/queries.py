@@ -56,7 +56,8 @@ STATISTICS = CONTINGENCY + """,
  m as (select *, sum(o) over (partition by variant_id) as n, sum(o) over (partition by variant_id, value) as r, sum(o) over (partition by variant_id, label) as c from tab),
  st as (select variant_id, max(n) as n, sum((o - cast(r as double) * c / n) * (o - cast(r as double) * c / n) / (cast(r as double) * c / n)) as chi2, (count(distinct value) - 1) * (count(distinct label) - 1) as dof, least(count(distinct value), count(distinct label)) - 1 as side,
    greatest(0, sum(case when o > 0 then cast(o as double) / n * ln(cast(o as double) * n / (cast(r as double) * c)) else 0 end)) as mi from m where r > 0 and c > 0 group by 1),
- pv as (select *, sqrt(chi2 / (n * side)) as v, exp(-chi2 / 2) * (1 + chi2 / 2) as p from st where dof = 4)"""
+ pv as (select *, sqrt(chi2 / (n * side)) as v, case when dof = 4 then exp(-chi2 / 2) * (1 + chi2 / 2) when dof = 2 then exp(-chi2 / 2) when chi2 <= 0 then 1.0
+   else greatest(0, 1 - list_sum([exp((dof / 2.0 + i) * ln(chi2 / 2) - chi2 / 2 - lgamma(dof / 2.0 + i + 1)) for i in range(0, 400)])) end as p from st)"""
 RANKED = STATISTICS + """,
  rk as (select *, count(*) over () as cnt, row_number() over (order by p, variant_id) as rank from pv),
  bh as (select *, least(1, min(p * cnt / rank) over (order by rank desc rows unbounded preceding)) as q from rk)"""
@@ -111,7 +112,7 @@ def yates_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(association.statistics(association.contingency(cells, labels)).where("dof = 1").select("variant_id", "n", "chi2", "v"))
 
 
-PAIRS = "select a.p_brand as f1, b.p_brand as f2 from (select distinct p_brand from {part}) a join (select distinct p_brand from {part}) b on a.p_brand < b.p_brand where substring(a.p_brand, 7, 1) = substring(b.p_brand, 7, 1)"
+PAIRS = "select a.p_brand as f1, b.p_brand as f2 from (select distinct p_brand from {part}) a join (select distinct p_brand from {part}) b on a.p_brand < b.p_brand"
 JOINT = with_("brand_cells", "segment_labels") + ", prs as (" + PAIRS.format(part="part") + """),
  lab as (select * from segment_labels where sample_id in (select sample_id from brand_cells)),
  j as (select f1, f2, l.sample_id, l.label, case when a.sample_id is null then 0 else 1 end as x, case when b.sample_id is null then 0 else 1 end as y from prs cross join lab l left join brand_cells a on a.sample_id = l.sample_id and a.variant_id = f1 left join brand_cells b on b.sample_id = l.sample_id and b.variant_id = f2),
@@ -131,14 +132,6 @@ def feature_synergy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(association.synergy(cells, labels, brand_pairs(spark, sf_dir)))
 
 
-@query()
-def feature_synergy_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``feature_synergy`` of all brand pairs; its SQL holds those with the same first digit."""
-    cells, labels = association.align(relation(spark, sf_dir, "brand_cells"), relation(spark, sf_dir, "segment_labels"))
-    brands = table(spark, sf_dir, "part").select("p_brand").distinct()
-    return rounded(association.synergy(cells, labels, brands.toDF("f1").join(brands.toDF("f2"), F.col("f1") < F.col("f2"))))
-
-
 @query()
 def interaction_permutation_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells, labels = association.align(relation(spark, sf_dir, "event_cells"), relation(spark, sf_dir, "segment_labels"))
@@ -288,20 +281,11 @@ def column_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(columns.passing(columns.numeric_gates(c, n), 0.01, 0.1).select("variant_id", "filled", "mean", "variance", "maf"))
 
 
-@query(with_("brand_cells") + """, few as (select sample_id, variant_id from brand_cells where cast(sample_id as int) <= 4), pt as (select variant_id, string_agg(sample_id, ',' order by sample_id) as pattern from few group by 1),
+@query(with_("brand_cells") + """, pt as (select variant_id, string_agg(sample_id, ',' order by sample_id) as pattern from brand_cells group by 1),
  k as (select variant_id, pattern, row_number() over (partition by pattern order by cast(substr(variant_id, 7) as int), variant_id) - 1 as place, count(*) over (partition by pattern) as n from pt)
  select variant_id, cast(n as bigint) as n from k where n <= 3 or list_contains([cast(round_even(i * (n - 1) / 2.0, 0) as bigint) for i in range(0, 3)], place)""")
 def redundant_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return thinned_patterns(relation(spark, sf_dir, "brand_cells").where(F.col("sample_id").cast("int") <= 4))
-
-
-@query()
-def redundant_patterns_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``redundant_patterns`` over all samples; its SQL holds four."""
-    return thinned_patterns(relation(spark, sf_dir, "brand_cells"))
-
-
-def thinned_patterns(cells: DataFrame) -> DataFrame:
+    cells = relation(spark, sf_dir, "brand_cells")
     pos = cells.select("variant_id", F.substring("variant_id", 7, 9).cast("int").alias("pos")).distinct()
     p = columns.patterns(cells).join(pos, "variant_id").withColumn("n", F.count("*").over(W.partitionBy("pattern")))
     return rounded(columns.even_pick(p.withColumn("size", F.col("n")), "pattern", ["pos", "variant_id"], 3).select("variant_id", F.col("size").alias("n")))
@@ -382,31 +366,19 @@ def interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(o.select("variant_id", "pos", F.col("cds.idx").alias("idx")))
 
 
-@query(with_("regions", "places") + ', r as (select * from regions where idx % 7 = 0), d as (select variant_id, idx, least(abs(pos - 1 - start), abs(pos - 1 - "end")) as distance from places cross join r), k as (select *, row_number() over (partition by variant_id order by distance, idx) as k from d) select variant_id, cast(idx as bigint) as nearest_idx, cast(distance as bigint) as distance from k where k = 1')
+@query(with_("regions", "places") + ', d as (select variant_id, idx, least(abs(pos - 1 - start), abs(pos - 1 - "end")) as distance from places cross join regions), k as (select *, row_number() over (partition by variant_id order by distance, idx) as k from d) select variant_id, cast(idx as bigint) as nearest_idx, cast(distance as bigint) as distance from k where k = 1')
 def nearest_region(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(annotate.nearest(relation(spark, sf_dir, "places"), relation(spark, sf_dir, "regions").where("idx % 7 = 0")))
-
-
-@query()
-def nearest_region_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``nearest_region`` over all regions; its SQL holds a seventh."""
     return rounded(annotate.nearest(relation(spark, sf_dir, "places"), relation(spark, sf_dir, "regions")))
 
 
-@query("with g as (select translate(upper(substr(text, 1, 60)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ ', 'ACGTACGTACGTACGTACGTACGTACG') as s, doc_id from documents where length(text) >= 60 and not regexp_matches(text, '[^ -~\\n]')), n as (select *, length(s) as n, doc_id % 60 + 1 as pos from g) select doc_id, substr(s || s || s, cast(n + pos - 10 as int), 21) as context, translate(reverse(s), 'ACGT', 'TGCA') as reverse from n")
-def circular_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("char_length(text) >= 60 and not text rlike '[^ -~\\n]'")
-    s = F.translate(F.upper(F.substring("text", 1, 60)), "ABCDEFGHIJKLMNOPQRSTUVWXYZ ", "ACGTACGTACGTACGTACGTACGTACG")
-    d = d.select("doc_id", s.alias("s"))
-    return d.select("doc_id", fx.context(F.col("s"), F.col("doc_id") % 60 + 1, 10).alias("context"), fx.reverse_complement(F.col("s")).alias("reverse"))
+BASES = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz ', '" + "ACGT" * 6 + "AC" + "ACGT" * 6 + "AC" + "G')"
 
 
-@query()
-def circular_context_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``circular_context`` of whole texts of any characters and length; its SQL holds 60 characters. Characters other than letters A to Z
-    and spaces stay as they are; empty and null texts have no place and are left out."""
-    s = F.translate(F.upper("text"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ ", "ACGTACGTACGTACGTACGTACGTACG")
-    d = table(spark, sf_dir, "documents").where("char_length(text) > 0").select("doc_id", s.alias("s"))
+@query(f"""with g as (select doc_id, {BASES} as s, length(text) as n from documents where length(text) > 0)
+ select doc_id, substr(repeat(s, cast(ceil(21.0 / n) as int) + 2), cast(((doc_id % n - 10) % n + n) % n + 1 as int), 21) as context, translate(array_to_string(list_reverse(regexp_extract_all(s, '(?s).')), ''), 'ACGT', 'TGCA') as reverse from g""")
+def circular_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Letters A to Z and blanks stand for bases, others stay as they are; empty and null texts have no place and are left out."""
+    d = table(spark, sf_dir, "documents").where("char_length(text) > 0").select("doc_id", F.expr(BASES).alias("s"))
     return d.select("doc_id", fx.context(F.col("s"), F.pmod("doc_id", F.length("s")) + 1, 10).alias("context"), fx.reverse_complement(F.col("s")).alias("reverse"))
 
 
@@ -567,19 +539,10 @@ def cluster_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Exports
 
-@query(SITES + ", h as (select sample_id, concat_ws(':', chrom, cast(pos as varchar), ref, alt) as v from calls c join sites s using (chrom, pos, ref) where c.called = s.alt and chrom = 'A' and pos < 8), vs as (select distinct concat_ws(':', chrom, cast(pos as varchar), ref, alt) as v from sites where chrom = 'A' and pos < 8), smp as (select distinct sample_id from calls) select s.sample_id, string_agg(case when h.v is null then '0' else '1' end, '' order by vs.v) as seq from smp s cross join vs left join h on h.sample_id = s.sample_id and h.v = vs.v group by 1")
+@query(SITES + ", h as (select sample_id, concat_ws(':', chrom, cast(pos as varchar), ref, alt) as v from calls c join sites s using (chrom, pos, ref) where c.called = s.alt), vs as (select distinct concat_ws(':', chrom, cast(pos as varchar), ref, alt) as v from sites), smp as (select distinct sample_id from calls) select s.sample_id, string_agg(case when h.v is null then '0' else '1' end, '' order by vs.v) as seq from smp s cross join vs left join h on h.sample_id = s.sample_id and h.v = vs.v group by 1")
 def binary_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return site_sequences(call_table(spark, sf_dir), "chrom = 'A' and pos < 8")
-
-
-@query()
-def binary_sequences_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``binary_sequences`` of all sites; its SQL holds a few."""
-    return site_sequences(call_table(spark, sf_dir))
-
-
-def site_sequences(c: DataFrame, held: str = "true") -> DataFrame:
-    s = calls.sites(c).where(held)
+    c = call_table(spark, sf_dir)
+    s = calls.sites(c)
     dense = calls.dense_alleles(c, s).withColumn("bit", (F.split("variant_id", ":")[2] != F.col("base")).cast("int"))
     order = s.select(calls.variant_id().alias("variant_id")).withColumn("idx", F.col("variant_id"))
     return sinks.sequences(dense, order, "bit")

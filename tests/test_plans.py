@@ -1,4 +1,4 @@
-"""Queries over whole tables, without SQL, against plain Python on small fixtures."""
+"""Queries over whole tables against plain Python on small fixtures."""
 
 import pytest
 from pyspark.sql import functions as F
@@ -18,10 +18,10 @@ def tables(spark, monkeypatch):
     return set_
 
 
-def test_redundant_patterns_whole(spark, tables):
+def test_redundant_patterns(spark, tables):
     held = {1: {1, 9}, 2: {1, 9}, 3: {1, 9}, 4: {1, 9}, 5: {1, 8}, 6: {7}}  # 1 to 5 are equal on samples up to 4
     tables(brand_cells=([(str(s), f"Brand#{v}", 1) for v, on in held.items() for s in on], "sample_id string, variant_id string, value int"))
-    got = {r.variant_id: r.n for r in plans.QUERIES["redundant_patterns_whole"](spark, "").collect()}
+    got = {r.variant_id: r.n for r in plans.QUERIES["redundant_patterns"](spark, "").collect()}
     assert got == {"Brand#1": 4, "Brand#3": 4, "Brand#4": 4, "Brand#5": 1, "Brand#6": 1}
 
 
@@ -31,7 +31,7 @@ EVENTS = ([(str(i), f"{kind}_{day}", 1) for i in range(40) for kind in ("view",
 def test_all_regions(spark, tables):
     regions = [(i, 10 * i, 10 * i + 5) for i in range(1, 41)]
     tables(places=([(f"v{p}", p) for p in range(1, 420, 3)], "variant_id string, pos int"), regions=(regions, "idx int, start int, end int"))
-    got = {r.variant_id: (r.nearest_idx, r.distance) for r in plans.QUERIES["nearest_region_whole"](spark, "").collect()}
+    got = {r.variant_id: (r.nearest_idx, r.distance) for r in plans.QUERIES["nearest_region"](spark, "").collect()}
     for p in range(1, 420, 3):
         distance, idx = min((min(abs(p - 1 - a), abs(p - 1 - b)), i) for i, a, b in regions)
         assert got[f"v{p}"] == (idx, distance)
@@ -51,31 +51,22 @@ def test_all_symbols(spark, tables):
     assert plans.user_symbols(spark, "")[0].select("marker").distinct().count() == 8
 
 
-def test_circular_context_whole(spark, tables):
+def test_circular_context(spark, tables):
     texts = {0: "Été\tà la mer " * 9, 3: "abc", 77: "x" * 59 + "1234567890 and more"}
     tables(documents=([*texts.items(), (5, ""), (6, None)], "doc_id long, text string"))
-    got = {r.doc_id: r for r in plans.QUERIES["circular_context_whole"](spark, "").collect()}
-    to = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ ", "ACGTACGTACGTACGTACGTACGTACG")
+    got = {r.doc_id: r for r in plans.QUERIES["circular_context"](spark, "").collect()}
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    to = {ord(c): "ACGT"[i % 4] for s in (letters, letters.lower()) for i, c in enumerate(s)} | {32: "G"}
     assert set(got) == set(texts)
     for i, x in texts.items():
-        s = x.upper().translate(to)
+        s = x.translate(to)
         assert got[i].context == "".join(s[(i % len(s) + k) % len(s)] for k in range(-10, 11))
         assert got[i].reverse == s[::-1].translate(str.maketrans("ACGT", "TGCA"))
 
 
-def test_feature_synergy_whole(spark, tables):
-    brands = ["Brand#11", "Brand#21", "Brand#32"]
-    cells = [(str(s), b, 1) for s in range(8) for k, b in enumerate(brands) if s >> k & 1]
-    labels = [(str(s), "ab"[(s ^ s >> 1) & 1]) for s in range(1, 8)] + [("0", "a")]
-    cells.append(("0", "Brand#none", 1))
-    tables(brand_cells=(cells, "sample_id string, variant_id string, value int"), segment_labels=(labels, "sample_id string, label string"), part=([(b,) for b in brands], "p_brand string"))
-    got = {(r.f1, r.f2): r.strength for r in plans.QUERIES["feature_synergy_whole"](spark, "").collect()}
-    assert set(got) == {("Brand#11", "Brand#21"), ("Brand#11", "Brand#32"), ("Brand#21", "Brand#32")} and got["Brand#11", "Brand#21"] == 0.693147
-
-
-def test_binary_sequences_whole(spark):
+def test_binary_sequences(spark):
     sf = "/root/testdata/sf0.001"
-    whole = plans.QUERIES["binary_sequences_whole"](spark, sf)
+    whole = plans.QUERIES["binary_sequences"](spark, sf)
     sites = plans.QUERIES["carrier_sites"](spark, sf)
     n = plans.calls.sites(plans.call_table(spark, sf)).count()
     assert {r.n for r in whole.select(F.length("seq").alias("n")).distinct().collect()} == {n} and n >= sites.count() > 8
