@@ -87,11 +87,11 @@ def dense_alleles(calls_: DataFrame, sites_: DataFrame) -> DataFrame:
     return both.select("sample_id", variant_id().alias("variant_id"), F.when(F.col("hit"), F.col("alt")).otherwise(F.col("ref")).alias("base"))
 
 
-def baselines(calls_: DataFrame, sites_: DataFrame) -> DataFrame:
+def baselines(calls_: DataFrame, sites_: DataFrame, samples: DataFrame | None = None) -> DataFrame:
     """(variant_id, baseline, differs): the commonest base of a site; of equals that of the first sample.
 
-    Counted from carriers alone: the reference has the rest of the samples."""
-    samples = calls_.select("sample_id").distinct()
+    Counted from carriers alone: the reference has the rest of the ``samples``, by default those with calls."""
+    samples = calls_.select("sample_id").distinct() if samples is None else samples
     n = samples.agg(F.count("*").alias("n"), F.min("sample_id").alias("first"))
     hit = calls_.withColumnRenamed("called", "alt").join(sites_, SITE)
     per = hit.groupBy(*SITE).agg(F.count("*").alias("ones"), F.min("sample_id").alias("first_alt")).join(F.broadcast(n))

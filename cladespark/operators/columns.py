@@ -9,6 +9,17 @@ from pyspark.sql import Window as W
 from ..functions.text import normal_symbol
 
 
+def numbered(rows: DataFrame, *order: str, name: str = "idx") -> DataFrame:
+    """``rows`` with their place, from 0, in the order of some columns. Ranges of rows are sorted apart and numbered from their counts,
+    so no task holds them all."""
+    ranges = rows.orderBy(*order).withColumn("__m", F.monotonically_increasing_id()).persist()  # read twice, in one order
+    part = F.shiftright("__m", 33)
+    counts = ranges.groupBy(part.alias("__p")).agg(F.count("*").alias("c"))
+    starts = counts.select("__p", (F.sum("c").over(W.orderBy("__p")) - F.col("c")).alias("__s"))  # one row a partition
+    out = ranges.withColumn("__p", part).join(F.broadcast(starts), "__p")
+    return out.withColumn(name, F.col("__s") + F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))).drop("__m", "__p", "__s")
+
+
 def sparse_counts(cells: DataFrame) -> DataFrame:
     """(variant_id, ones) of cells that hold ones."""
     return cells.where("value = 1").groupBy("variant_id").agg(F.count("*").alias("ones"))

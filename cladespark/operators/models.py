@@ -8,24 +8,23 @@ from typing import Any
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.classification import NaiveBayes as MultinomialBayes
 from pyspark.ml.clustering import KMeans
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import SparseVector, Vectors, VectorUDT
-from pyspark.sql import DataFrame
+from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .columns import drop_singletons
 from .resample import folds, stratified_split
 
 
-def encode(cells: DataFrame, titles: list[str]) -> DataFrame:
-    """(sample_id, features): one-hot ``marker=symbol`` vectors over ``titles``; other symbols are ignored."""
-    index = {t: i for i, t in enumerate(titles)}
-    ids = F.create_map(*[x for t, i in index.items() for x in (F.lit(t), F.lit(i))])
-    hot = cells.select("sample_id", F.try_element_at(ids, F.concat_ws("=", "marker", "symbol")).alias("i"))
-    rows = hot.groupBy("sample_id").agg(F.sort_array(F.collect_set("i")).alias("on"))
-    n = len(titles)
-    pack = F.udf(lambda on: SparseVector(n, on, [1.0] * len(on)), VectorUDT())
-    return rows.select("sample_id", pack("on").alias("features"))
+def encode(cells: DataFrame, titles: list[str], samples: DataFrame | None = None) -> DataFrame:
+    """(sample_id, features): one-hot ``marker=symbol`` vectors over ``titles``; other symbols are ignored. Of ``samples``, by default those
+    with cells; without any they get zeros."""
+    rows = cells.groupBy("sample_id").agg(F.collect_set(F.concat_ws("=", "marker", "symbol")).alias("on"))
+    if samples is not None:
+        rows = samples.select("sample_id").distinct().join(rows, "sample_id", "left").withColumn("on", F.coalesce("on", F.array().cast("array<string>")))
+    return CountVectorizerModel.from_vocabulary(titles, "on", "features").transform(rows).select("sample_id", "features")
 
 
 def titles_of(cells: DataFrame, most: int = 20_000) -> list[str]:
@@ -56,7 +55,11 @@ def estimator(name: str, width: int, classes: int, rows: int, seed: int = 42) ->
     return LogisticRegression(regParam=1 / max(1, rows), standardization=False, family="multinomial", maxIter=200)
 
 
-def fourier(df: DataFrame, width: int, gamma: float | None = None, dims: int = 256, seed: int = 42) -> DataFrame:
+#: Random features that stand for a kernel.
+DIMS = 256
+
+
+def fourier(df: DataFrame, width: int, gamma: float | None = None, dims: int = DIMS, seed: int = 42) -> DataFrame:
     """Random Fourier features of an RBF kernel, so that a linear SVM stands for a kernel one."""
     import numpy as np
 
@@ -74,9 +77,40 @@ class Trained:
     labels: list[str]
     model: Any
 
-    def score(self, cells: DataFrame) -> DataFrame:
-        """(sample_id, label, prob) of every label."""
-        x = encode(cells, self.titles)
+    def save(self, path: str) -> None:
+        """The model and its titles, anywhere Spark can write."""
+        import json
+
+        from pyspark.sql import SparkSession
+
+        self.model.write().overwrite().save(f"{path}/model")
+        about = json.dumps({"name": self.name, "titles": self.titles, "labels": self.labels})
+        SparkSession.active().createDataFrame([(about,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Trained:
+        import json
+
+        from pyspark.ml.util import DefaultParamsReader
+
+        about = json.loads(spark.read.text(f"{path}/about").first().value)
+        return Trained(about["name"], about["titles"], about["labels"], DefaultParamsReader.loadParamsInstance(f"{path}/model", spark))
+
+    def identify(self, profiles: DataFrame, least: float = 0.0) -> DataFrame:
+        """(sample_id, label, prob, place, odd) of profiles (sample_id, marker, symbol) whose marker names fuzzily equal the trained ones.
+
+        Samples with less than ``least`` of the trained markers are left out."""
+        from .scoring import formatted, match_features
+
+        names = list(dict.fromkeys(t.split("=", 1)[0] for t in self.titles))
+        trained = profiles.sparkSession.createDataFrame(list(enumerate(names)), "idx int, name string")
+        cells = match_features(profiles, trained)
+        known = cells.groupBy("sample_id").agg((F.countDistinct("marker") / len(names)).alias("share")).where(F.col("share") >= least)
+        return formatted(self.score(cells.join(known, "sample_id", "left_semi")))
+
+    def score(self, cells: DataFrame, samples: DataFrame | None = None) -> DataFrame:
+        """(sample_id, label, prob) of every label, for ``samples``, by default those with cells."""
+        x = encode(cells, self.titles, samples)
         if self.name.startswith("SVC"):
             x = fourier(x, len(self.titles))
         out = self.model.transform(x)
@@ -94,10 +128,10 @@ def train(name: str, cells: DataFrame, labels: DataFrame, seed: int = 42) -> Tra
     order = [r.label for r in labels.groupBy("label").agg(F.min("sample_id").alias("s")).orderBy("s").collect()]
     titles = titles_of(cells.join(labels, "sample_id", "left_semi"))
     index = F.create_map(*[x for i, v in enumerate(order) for x in (F.lit(v), F.lit(float(i)))])
-    x = encode(cells, titles).join(labels, "sample_id").withColumn("label", F.element_at(index, F.col("label")))
+    x = encode(cells, titles, labels).join(labels, "sample_id").withColumn("label", F.element_at(index, F.col("label")))
     if name.startswith("SVC"):
         x = fourier(x, len(titles))
-    width = 256 if name.startswith("SVC") else len(titles)
+    width = DIMS if name.startswith("SVC") else len(titles)
     return Trained(name, titles, order, estimator(name, width, len(order), labels.count(), seed).fit(x.select("features", "label")))
 
 
@@ -107,27 +141,43 @@ def holdout(name: str, cells: DataFrame, labels: DataFrame, test: float = 0.2, s
     some = not split.where("test").isEmpty()
     model = train(name, cells, split.where("not test").select("sample_id", "label") if some else labels, seed)
     held = split.where("test") if some else labels
-    best = model.score(cells.join(held, "sample_id", "left_semi")).groupBy("sample_id").agg(F.max_by("label", F.struct("prob", "label")).alias("guess"))
+    best = model.score(cells.join(held, "sample_id", "left_semi"), held).groupBy("sample_id").agg(F.max_by("label", F.struct("prob", "label")).alias("guess"))
     return held.select("sample_id", "label").join(best, "sample_id")
 
 
-def cross_validated(name: str, cells: DataFrame, labels: DataFrame, k: int = 5, seed: int = 42) -> float:
-    """Mean accuracy over folds dealt within labels; NaN where it cannot be had."""
+PROBES = ("LR", "LinearSVC", "SVC_RBF", "RF", "DT", "MLP_small")
+
+
+def probe(cells: DataFrame, labels: DataFrame, names: tuple[str, ...] = PROBES, k: int = 5, seed: int = 42) -> dict[str, float]:
+    """Mean accuracy of each model over folds dealt within labels; NaN where it cannot be had. Vectors are made once for all of them."""
     least = labels.groupBy("label").count().agg(F.min("count")).first()[0] or 0
     k = min(k, max(2, least))
-    dealt, got = folds(labels, k, seed), []
-    for i in range(k):
-        part = dealt.where(F.col("fold") != i).select("sample_id", "label")
-        test = dealt.where(F.col("fold") == i)
-        if part.select("label").distinct().count() < 2 or test.isEmpty():
-            return float("nan")
-        best = train(name, cells, part, seed).score(cells.join(test, "sample_id", "left_semi")).groupBy("sample_id").agg(F.max_by("label", F.struct("prob", "label")).alias("guess"))
-        got.append(test.join(best, "sample_id").agg(F.avg((F.col("label") == F.col("guess")).cast("int"))).first()[0])
-    return sum(got) / len(got)
-
-
-def probe(cells: DataFrame, labels: DataFrame, names: tuple[str, ...] = ("LR", "LinearSVC", "SVC_RBF", "RF", "DT", "MLP_small"), k: int = 5) -> dict[str, float]:
-    return {n: cross_validated(n, cells, labels, k) for n in names}
+    dealt = folds(labels.select("sample_id", "label"), k, seed).persist()
+    order = [r.label for r in labels.select("label").distinct().orderBy("label").collect()]
+    held = {(r.fold, r.label) for r in dealt.select("fold", "label").distinct().collect()}  # folds times labels
+    if any(len({c for f, c in held if f != i}) < 2 or not any(f == i for f, _ in held) for i in range(k)):
+        return {n: float("nan") for n in names}
+    titles = titles_of(cells.join(dealt, "sample_id", "left_semi"))
+    rows = labels.count()
+    index = F.create_map(*[x for i, v in enumerate(order) for x in (F.lit(v), F.lit(float(i)))])
+    plain = encode(cells, titles, dealt).join(dealt, "sample_id").select("features", "fold", F.element_at(index, F.col("label")).alias("label"))
+    plain = plain.coalesce(1 + rows // 10_000).persist()  # solvers pass over it many times: few tasks for few rows
+    turned = fourier(plain, len(titles)).persist() if any(n.startswith("SVC") for n in names) else plain
+    out = {}
+    for n in names:
+        x, width = (turned, DIMS) if n.startswith("SVC") else (plain, len(titles))
+        got = []
+        for i in range(k):
+            model = estimator(n, width, len(order), rows, seed).fit(x.where(F.col("fold") != i).select("features", "label"))
+            got.append(model.transform(x.where(F.col("fold") == i)).agg(F.avg((F.col("prediction") == F.col("label")).cast("int"))).first()[0])
+        out[n] = sum(got) / len(got)
+    for x in (dealt, plain, turned):
+        x.unpersist()
+    return out
+
+
+def cross_validated(name: str, cells: DataFrame, labels: DataFrame, k: int = 5, seed: int = 42) -> float:
+    return probe(cells, labels, (name,), k, seed)[name]
 
 
 def best_by_cv(cells: DataFrame, labels: DataFrame, k: int = 5) -> tuple[str, dict[str, float]]:

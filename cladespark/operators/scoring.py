@@ -49,6 +49,15 @@ def identified(predictions: DataFrame, truth: DataFrame, grid: list[float]) -> D
     return rows.groupBy("threshold", "sample_id").agg(F.sum(hit.cast("int")).alias("n_identified"), F.max((hit & (F.col("label") == F.col("true_label"))).cast("int")).alias("matched"))
 
 
+def identifications(predictions: DataFrame, truth: DataFrame, threshold: float) -> DataFrame:
+    """(sample_id, true_label, identified, matched, top_label, top_prob): labels at or above a threshold, likeliest first and comma-joined."""
+    order = F.array_sort(F.collect_list(F.when(F.col("prob") >= threshold, F.struct((-F.col("prob")).alias("p"), "label"))))
+    rows = predictions.groupBy("sample_id").agg(order.alias("hits"), F.min(F.struct((-F.col("prob")).alias("p"), "label")).alias("top"))
+    names = F.transform("hits", lambda x: x["label"])
+    rows = rows.join(truth.select("sample_id", F.col("label").alias("true_label")), "sample_id")
+    return rows.select("sample_id", "true_label", F.array_join(names, ",").alias("identified"), F.array_contains(names, F.col("true_label")).alias("matched"), F.col("top.label").alias("top_label"), (-F.col("top.p")).alias("top_prob"))
+
+
 def threshold_table(hits: DataFrame) -> DataFrame:
     """tp, fp, fn, precision, recall, f1 of each threshold, and whether it is the best: the first with the highest f1."""
     t = hits.groupBy("threshold").agg(

@@ -12,12 +12,29 @@ LABEL_NAMES = ("label", "class", "group", "y")
 
 
 def call_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """(sample_id, line_no, value) of every line of ``*.vcf`` and ``*.vcf.gz`` files. Lines are numbered by their place in the file, so
-    the last of equal records can win."""
-    raw = spark.read.option("pathGlobFilter", "*.vcf*").text(folder, wholetext=True)
-    name = F.element_at(F.split(F.input_file_name(), "/"), -1)
-    files = raw.select(file_sample(name).alias("sample_id"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "value"))
-    return files.where("value <> ''")
+    """(sample_id, line_no, value) of every line of ``*.vcf`` and ``*.vcf.gz`` files. ``line_no`` orders the lines of a file, by the
+    start of their block and their place in it, so the last of equal records can win and large files are still split."""
+    raw = spark.read.option("pathGlobFilter", "*.{vcf,vcf.gz}").text(folder)
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    return raw.select(file_sample(F.col("_metadata.file_name")).alias("sample_id"), place.alias("line_no"), "value").where("value <> ''")
+
+
+def call_files(spark: SparkSession, folder: str, delimiter: str = "_") -> DataFrame:
+    """(sample_id, path) of the call files of a folder: the name up to the delimiter; of several files of a sample the first by path."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{vcf,vcf.gz}").load(folder).select("path")
+    name = file_sample(F.element_at(F.split("path", "/"), -1))
+    return files.groupBy(F.substring_index(name, delimiter, 1).alias("sample_id")).agg(F.min("path").alias("path"))
+
+
+def call_samples(spark: SparkSession, folder: str) -> DataFrame:
+    """(sample_id) of every call file, also of those without any call."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{vcf,vcf.gz}").load(folder).select("path")
+    return files.select(file_sample(F.element_at(F.split("path", "/"), -1)).alias("sample_id")).distinct()
+
+
+def require_call_files(spark: SparkSession, folder: str) -> None:
+    if call_samples(spark, folder).isEmpty():
+        raise ValueError(f"no call files in {folder}")
 
 
 def separator(name: str) -> str:
