@@ -62,6 +62,13 @@ def elided(x: Column, most: int = 60) -> Column:
     return F.when(F.length(x) <= most, x).otherwise(F.concat(F.substring(x, 1, left), F.lit("..."), F.substring(x, -right, right)))
 
 
+def clipped(x: Column, most: float = 2.0) -> Column:
+    """A number between ``-most`` and ``most``; 0 for null, NaN and infinities."""
+    n = x.cast("double")
+    odd = n.isNull() | F.isnan(n) | (F.abs(n) == float("inf"))
+    return F.when(odd, 0.0).otherwise(F.greatest(F.lit(-most), F.least(F.lit(most), n)))
+
+
 def effect_class(v: Column) -> Column:
     return F.when(v < 0.1, "negligible").when(v < 0.3, "small").when(v < 0.5, "medium").otherwise("large")
 

@@ -80,6 +80,22 @@ def symbols_of(cells: DataFrame) -> DataFrame:
     return cells.select("marker", normal_symbol(F.col("symbol")).alias("symbol")).where("symbol <> ''").groupBy("marker").agg(F.sort_array(F.collect_set("symbol")).alias("symbols"))
 
 
+def integers_of(cells: DataFrame) -> DataFrame:
+    """(marker, numbers): the distinct whole numbers among each marker's symbols in order; markers without any have an empty list."""
+    return cells.select("marker", F.trim("symbol").try_cast("int").alias("n")).groupBy("marker").agg(F.sort_array(F.collect_set("n")).alias("numbers"))
+
+
+def used_titles(hot: DataFrame) -> DataFrame:
+    """(marker, symbols) of one-hot cells (sample_id, title ``marker=symbol``, value): the symbols whose column holds anything but zero."""
+    some = hot.where("value <> 0").select(F.substring_index("title", "=", 1).alias("marker"), F.expr("substring(title, instr(title, '=') + 1)").alias("symbol"))
+    return some.groupBy("marker").agg(F.sort_array(F.collect_set("symbol")).alias("symbols"))
+
+
+def first_seen(rows: DataFrame, value: str, order: str, name: str = "code") -> DataFrame:
+    """(value, code): distinct values numbered from 0 by where they first stand."""
+    return numbered(rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.min(order).alias("__first")), "__first", value, name=name).drop("__first")
+
+
 def patterns(cells: DataFrame) -> DataFrame:
     """(variant_id, pattern): columns with equal values have equal patterns, a 128-bit sum over the samples that hold a one.
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .. import workflow
 from ..functions import text as fx
 from ..operators import annotate, association, calls, columns, models, resample, scoring, tree
 from ..sources import sinks
@@ -546,3 +547,100 @@ def binary_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     dense = calls.dense_alleles(c, s).withColumn("bit", (F.split("variant_id", ":")[2] != F.col("base")).cast("int"))
     order = s.select(calls.variant_id().alias("variant_id")).withColumn("idx", F.col("variant_id"))
     return sinks.sequences(dense, order, "bit")
+
+
+@query(SITES + """, o as (select chrom, pos, ref, alt, carriers, row_number() over (order by chrom, pos, ref, alt) - 1 as idx from sites)
+ select cast(idx as bigint) as idx, concat_ws(':', chrom, cast(pos as varchar), ref, alt) as variant_id, cast(pos as varchar) as "Position", cast(carriers as varchar) as "Count" from o""")
+def ordered_site_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return workflow.site_table(spark, calls.sites(call_table(spark, sf_dir)), None).select("idx", "variant_id", "Position", "Count")
+
+
+@query(SITES + """, smp as (select distinct sample_id from calls), d as (select s.sample_id, chrom, pos, ref, alt, case when c.called = alt then alt else ref end as base from smp s cross join sites left join calls c using (sample_id, chrom, pos, ref))
+ select sample_id, string_agg(base, '' order by chrom, pos, ref, alt) as seq, string_agg(case when base <> ref then '1' else '0' end, '' order by chrom, pos, ref, alt) as bits from d group by 1""")
+def allele_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alleles and bits of all sites as one string a sample, from carriers alone."""
+    c = call_table(spark, sf_dir)
+    s = calls.sites(c).persist()
+    samples = c.select("sample_id").distinct()
+    at = columns.numbered(s.withColumn("variant_id", calls.variant_id()), *calls.SITE).persist()
+    refs = "".join(r.ref for r in at.select("idx", "ref").orderBy("idx").collect())  # one base a column of the export
+    hits = calls.carriers(c, s).join(at.select("variant_id", "idx", "alt"), "variant_id")
+    alleles = sinks.lines(hits.select("sample_id", "idx", F.col("alt").alias("symbol")), samples, refs)
+    bits = sinks.lines(hits.select("sample_id", "idx", F.lit("1").alias("symbol")), samples, "0" * len(refs))
+    return alleles.join(bits.withColumnRenamed("seq", "bits"), "sample_id")
+
+
+@query(PREDICTED + """ select r.sample_id, t.label as true_label, coalesce(string_agg(r.label, ',' order by r.prob desc, r.label) filter (where r.prob >= 0.25), '') as identified, max(case when r.prob >= 0.25 and r.label = t.label then 1 else 0 end) = 1 as matched,
+ max(case when place = 1 then r.label end) as top_label, round(max(r.prob), 6) as top_prob from rk r join truth t on t.sample_id = r.sample_id group by 1, 2""")
+def identified_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = relation(spark, sf_dir, "predictions")
+    return rounded(scoring.identifications(p, truth_of(p), 0.25))
+
+
+@query(SYMBOLS + " select marker, coalesce(string_agg(cast(n as varchar), ',' order by n), '') as numbers from (select distinct marker, try_cast(trim(symbol) as int) as n from symbols) group by 1")
+def integer_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return columns.integers_of(relation(spark, sf_dir, "symbols")).select("marker", F.array_join(F.col("numbers").cast("array<string>"), ",").alias("numbers"))
+
+
+HOT = "select cast(l_orderkey as string) as sample_id, concat('flag=', l_returnflag, '=', cast(l_linenumber as string)) as title, case when l_quantity > 45 and l_linenumber < 4 then 1 else 0 end as value from {lineitem}"
+
+
+@query("with h as (" + HOT.format(lineitem="lineitem").replace("as string", "as varchar") + "), d as (select distinct split_part(title, '=', 1) as marker, substr(title, instr(title, '=') + 1) as symbol from h where value <> 0) select marker, string_agg(symbol, '|' order by symbol) as symbols from d group by 1")
+def used_one_hot_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hot = spark.sql(HOT.format(lineitem=f"parquet.`{sf_dir}/lineitem.parquet`"))
+    return columns.used_titles(hot).select("marker", F.array_join("symbols", "|").alias("symbols"))
+
+
+@query("select o_orderpriority as label, cast(row_number() over (order by min(o_orderkey), o_orderpriority) - 1 as bigint) as code from orders where o_orderpriority is not null group by 1")
+def first_seen_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("label"), "o_orderkey")
+    return rounded(columns.first_seen(orders, "label", "o_orderkey"))
+
+
+@query("select p_partkey, case when length(n) <= 20 then n else substr(n, 1, 8) || '...' || substr(n, length(n) - 8, 9) end as name, round(greatest(-2.0, least(2.0, (p_retailprice - 1000) / 100)), 6) + 0.0 as clipped from (select p_partkey, p_retailprice, p_name || ' ' || p_type || ' ' || p_brand as n from part)")
+def shortened_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    return rounded(part.select("p_partkey", fx.elided(F.concat_ws(" ", "p_name", "p_type", "p_brand"), 20).alias("name"), fx.clipped((F.col("p_retailprice") - 1000) / 100).alias("clipped")))
+
+
+@query("with c as (" + GATED.format(lineitem="lineitem").replace("as string", "as varchar") + "), n as (select count(distinct sample_id) as n from c), g as (select variant_id, cast(count(value) as double) / max(n) as filled, avg(value) as mean from c cross join n group by 1) select variant_id, round(mean * filled, 6) as share from g where filled = 1 or mean * filled between 0.02 and 0.98")
+def nearly_constant_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = spark.sql(GATED.format(lineitem=f"parquet.`{sf_dir}/lineitem.parquet`"))
+    n = c.select("sample_id").distinct().count()
+    g = columns.near_constant(columns.numeric_gates(c, n), 0.02, 0.98)
+    return rounded(g.select("variant_id", (F.col("mean") * F.col("filled")).alias("share")))
+
+
+TYPED = "select idx, case when idx % 3 = 0 then ' Coding' when idx % 3 = 1 then 'coding ' else 'non-coding' end as region_type, case when idx % 4 = 0 then 'A|A' when idx % 4 = 1 then 'A|V' when idx % 4 = 2 then '-|V' else ' K | R' end as amino_change from (select distinct cast(p_partkey as int) as idx from {part})"
+
+
+@query("with t as (" + TYPED.format(part="part") + "), k as (select *, trim(split_part(amino_change, '|', 1)) as a, trim(split_part(amino_change, '|', 2)) as b from t) select cast(idx as bigint) as idx, (lower(trim(region_type)) = 'coding' and a <> b and a not in ('', '-') and b not in ('', '-')) or idx in (2, 14) as keep from k")
+def typed_and_forced_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = spark.sql(TYPED.format(part=f"parquet.`{sf_dir}/part.parquet`"))
+    some = columns.type_filter(t, "sense-mutations").select("idx", F.lit(True).alias("hit"))
+    mask = t.join(some, "idx", "left").select("idx", F.coalesce("hit", F.lit(False)).alias("keep"))
+    return rounded(columns.forced(mask, "2, x 14"))
+
+
+@query("with e as (select event_id, 'DB;K=0;' || 'K=' || coalesce(json_extract_string(props, '$.k'), '') || ';V=' || event_type as info from events) select event_id, json_extract_string(props, '$.k') as k, event_type as v from events")
+def info_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last of repeated keys of ``;``-separated text, as a map and one by one."""
+    e = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("DB;K=0;K="), F.get_json_object("props", "$.k"), F.lit(";V="), F.col("event_type")).alias("info"))
+    return e.select("event_id", fx.info_value(F.col("info"), "K").alias("k"), fx.info_map(F.col("info"))["V"].alias("v"))
+
+
+@query("select cast(c_custkey as varchar) as sample_id, c_mktsegment as stratum, 'S' || cast(c_custkey as varchar) || '.vcf.gz' as target from customer where c_nationkey in (select n_nationkey from nation where n_regionkey = 1)")
+def subset_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples that have both metadata and a file."""
+    meta = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("sample_id"), F.col("c_mktsegment").alias("stratum"), F.col("c_nationkey").alias("n_nationkey"))
+    files = table(spark, sf_dir, "nation").where("n_regionkey = 1")
+    return meta.join(files, "n_nationkey", "left_semi").select("sample_id", "stratum", F.concat(F.lit("S"), "sample_id", F.lit(".vcf.gz")).alias("target"))
+
+
+@query()
+def classifier_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-validated accuracies of the linear and the tree probe, and the classifier they speak for."""
+    symbols, labels = user_symbols(spark, sf_dir)
+    scores = models.probe(symbols, labels, ("LR", "DT"), 3)
+    best = scoring.recommend(scores, labels.count(), symbols.select("marker").distinct().count())
+    return spark.createDataFrame([(n, v, best) for n, v in scores.items()], "probe string, accuracy double, recommendation string")
