@@ -71,7 +71,7 @@ def _t_column(t: pd.Series, dof: pd.Series) -> pd.Series:
 
 
 def _fisher_column(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
-    return pd.Series([_fisher(*map(int, x)) for x in zip(a, b, c, d, strict=True)], dtype="float64")
+    return pd.Series([None if pd.isna(x[0]) else _fisher(*map(int, x)) for x in zip(a, b, c, d, strict=True)], dtype="float64")
 
 
 def chi2_sf(x: ColumnOrName, dof: ColumnOrName) -> Column:

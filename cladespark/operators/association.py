@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -36,7 +36,8 @@ def dense_contingency(cells: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def statistics(table: DataFrame, yates: bool = True) -> DataFrame:
-    """(variant_id, n, min_o, rows, cols, dof, chi2, chi2_raw, mi, v) of a contingency table of every feature."""
+    """(variant_id, n, min_o, rows, cols, dof, chi2, chi2_raw, mi, v, square) of a contingency table of every feature; square: its four
+    counts in order where it is 2 x 2."""
     f, r, c = W.partitionBy("variant_id"), W.partitionBy("variant_id", "value"), W.partitionBy("variant_id", "label")
     t = table.withColumns({"n": F.sum("o").over(f), "r": F.sum("o").over(r), "c": F.sum("o").over(c)}).where("r > 0 and c > 0")
     t = t.withColumn("e", F.col("r") * F.col("c") / F.col("n"))
@@ -45,9 +46,10 @@ def statistics(table: DataFrame, yates: bool = True) -> DataFrame:
     mi = F.when(F.col("o") > 0, F.col("o") / F.col("n") * F.log(F.col("o") * F.col("n") / (F.col("r") * F.col("c")))).otherwise(0.0)
     s = t.groupBy("variant_id").agg(
         F.max("n").alias("n"), F.min("o").alias("min_o"), F.countDistinct("value").alias("rows"), F.countDistinct("label").alias("cols"),
-        F.sum(gap * gap / F.col("e")).alias("chi2_raw"), F.sum(corrected).alias("chi2_yates"), F.greatest(F.sum(mi), F.lit(0.0)).alias("mi"),
+        F.array_sort(F.collect_list(F.struct("value", "label", "o"))).alias("square"), F.sum(gap * gap / F.col("e")).alias("chi2_raw"), F.sum(corrected).alias("chi2_yates"), F.greatest(F.sum(mi), F.lit(0.0)).alias("mi"),
     )
     s = s.withColumn("dof", (F.col("rows") - 1) * (F.col("cols") - 1))
+    s = s.withColumn("square", F.when((F.col("rows") == 2) & (F.col("cols") == 2) & (F.size("square") == 4), F.transform("square", lambda x: x["o"])))
     chi2 = F.when((F.col("dof") == 1) & F.lit(yates), F.col("chi2_yates")).when(F.col("dof") > 0, F.col("chi2_raw")).otherwise(0.0)
     side = F.least("rows", "cols") - 1
     return s.withColumn("chi2", chi2).withColumn("v", F.when((side > 0) & (F.col("n") > 0), F.sqrt(F.col("chi2") / (F.col("n") * side))).otherwise(0.0)).drop("chi2_yates")
@@ -55,18 +57,19 @@ def statistics(table: DataFrame, yates: bool = True) -> DataFrame:
 
 def fisher(table: DataFrame) -> DataFrame:
     """(variant_id, fisher_p) of features with a 2 x 2 table."""
-    order = F.array_sort(F.collect_list(F.struct("value", "label", "o")))
-    t = table.groupBy("variant_id").agg(order.alias("t")).where("size(t) = 4")
-    return t.select("variant_id", fisher_exact(*[F.get("t", F.lit(i))["o"] for i in range(4)]).alias("fisher_p"))
+    return statistics(table).where("square is not null").select("variant_id", fisher_of("square").alias("fisher_p"))
+
+
+def fisher_of(square: str) -> Column:
+    """Fisher's exact p of the four counts of a table; null if there are none."""
+    return fisher_exact(*[F.get(square, F.lit(i)) for i in range(4)])
 
 
 def tests(table: DataFrame, fisher_below: int | None = None) -> DataFrame:
     """Statistics with ``p``: chi-square, or Fisher's exact test for 2 x 2 tables (``fisher_below``: only if a cell is lower)."""
-    s = statistics(table)
-    small = (F.col("rows") == 2) & (F.col("cols") == 2)
-    small = small if fisher_below is None else small & (F.col("min_o") < fisher_below)
-    s = s.join(fisher(table), "variant_id", "left")
-    return s.withColumn("p", F.when(small & F.col("fisher_p").isNotNull(), F.col("fisher_p")).otherwise(chi2_sf("chi2", "dof"))).withColumn("effect", effect_class(F.col("v")))
+    small = F.col("square").isNotNull() if fisher_below is None else F.col("square").isNotNull() & (F.col("min_o") < fisher_below)
+    s = statistics(table).withColumn("square", F.when(small, F.col("square"))).withColumn("fisher_p", fisher_of("square"))
+    return s.withColumn("p", F.coalesce("fisher_p", chi2_sf("chi2", "dof"))).withColumn("effect", effect_class(F.col("v"))).drop("square")
 
 
 def benjamini_hochberg(p: DataFrame, alpha: float = 0.05) -> DataFrame:
@@ -101,17 +104,17 @@ def mutual_information(table: DataFrame, by: list[str]) -> DataFrame:
 def pair_table(cells: DataFrame, labels: DataFrame, pairs: DataFrame) -> DataFrame:
     """(f1, f2, value, label, o): joint values of feature pairs, as 2 * value1 + value2, from ones alone.
 
-    Samples with a one in either feature are joined; those with none come from the label totals."""
-    ones = cells.where("value = 1").select("sample_id", "variant_id")
-    a = pairs.join(ones, F.col("f1") == F.col("variant_id")).select("f1", "f2", "sample_id", F.lit(2).alias("x"))
-    b = pairs.join(ones, F.col("f2") == F.col("variant_id")).select("f1", "f2", "sample_id", F.lit(1).alias("x"))
-    some = a.union(b).groupBy("f1", "f2", "sample_id").agg(F.sum("x").alias("value")).join(labels, "sample_id")
-    seen = some.groupBy("f1", "f2", "value", "label").agg(F.count("*").alias("o"))
+    Only samples with both ones are joined; the other counts follow from those of each feature and the label totals."""
+    pairs = pairs.select("f1", "f2")
+    plain = cells.where("value = 1").select("sample_id", "variant_id").distinct()
+    ones = plain.join(labels.select("sample_id", "label"), "sample_id")  # a sample may have several labels, each of its own permutation
+    per = ones.groupBy("variant_id", "label").agg(F.count("*").alias("c"))
+    one = pairs.join(ones.withColumnRenamed("variant_id", "f1"), "f1")
+    both = one.join(plain.withColumnRenamed("variant_id", "f2"), ["sample_id", "f2"]).groupBy("f1", "f2", "label").agg(F.count("*").alias("b"))
     totals = labels.groupBy("label").agg(F.count("*").alias("total"))
-    used = seen.groupBy("f1", "f2", "label").agg(F.sum("o").alias("used"))
-    none = pairs.select("f1", "f2").join(F.broadcast(totals)).join(used, ["f1", "f2", "label"], "left")
-    none = none.select("f1", "f2", F.lit(0).cast("bigint").alias("value"), "label", (F.col("total") - F.coalesce("used", F.lit(0))).alias("o")).where("o > 0")
-    return seen.select("f1", "f2", "value", "label", "o").union(none)
+    grid = pairs.join(F.broadcast(totals)).join(per.toDF("f1", "label", "c1"), ["f1", "label"], "left").join(per.toDF("f2", "label", "c2"), ["f2", "label"], "left").join(both, ["f1", "f2", "label"], "left").fillna(0, ["c1", "c2", "b"])
+    counts = F.array(F.col("total") - F.col("c1") - F.col("c2") + F.col("b"), F.col("c2") - F.col("b"), F.col("c1") - F.col("b"), F.col("b"))
+    return grid.select("f1", "f2", "label", F.posexplode(counts).alias("value", "o")).select("f1", "f2", F.col("value").cast("bigint").alias("value"), "label", "o").where("o > 0")
 
 
 def synergy(cells: DataFrame, labels: DataFrame, pairs: DataFrame, clip: bool = True) -> DataFrame:

@@ -41,14 +41,12 @@ def permuted(labels: DataFrame, permutations: int, seed: int) -> DataFrame:
 
 def permutation_test(cells: DataFrame, labels: DataFrame, pairs: DataFrame, permutations: int, seed: int, alpha: float = 0.05) -> DataFrame:
     """(f1, f2, observed, p, significant): share of permutations whose synergy is at least that seen, all in one job."""
-    from .association import mutual_information, synergy
+    from .association import mutual_information, pair_table, synergy
 
     seen = synergy(cells, labels, pairs, clip=False).withColumnRenamed("strength", "observed")
-    ones = cells.where("value = 1").select("sample_id", "variant_id", F.lit(1).alias("one"))
-    grid = pairs.select("f1", "f2").distinct().crossJoin(labels.select("sample_id"))  # stated pairs against all samples
-    a = grid.join(ones.toDF("sample_id", "f1", "a"), ["sample_id", "f1"], "left").join(ones.toDF("sample_id", "f2", "b"), ["sample_id", "f2"], "left")
-    joint = a.select("f1", "f2", "sample_id", (2 * F.coalesce("a", F.lit(0)) + F.coalesce("b", F.lit(0))).alias("value"))
-    table = joint.join(permuted(labels, permutations, seed), "sample_id").groupBy("perm", "f1", "f2", "value", "label").agg(F.count("*").alias("o"))
+    # a permutation and a label together are a label of the joint table, so samples without ones are never rows
+    dealt = permuted(labels, permutations, seed).select("sample_id", F.struct("perm", "label").alias("label"))
+    table = pair_table(cells, dealt, pairs.select("f1", "f2").distinct()).select("f1", "f2", "value", "label.perm", "label.label", "o")
     by = ["perm", "f1", "f2"]
     whole = mutual_information(table, by)
     one = mutual_information(table.withColumn("value", F.floor(F.col("value") / 2)), by).withColumnRenamed("mi", "m1")
