@@ -120,10 +120,19 @@ def grow(cells: DataFrame, labels: DataFrame, max_depth: int | None = None, leas
 
 def grow_all(cells: DataFrame, samples: DataFrame, max_depth: int | None = None, least_split: float = 2, least_leaf: float = 1, cut=None) -> dict[int, Tree]:
     """A tree of each replicate in ``samples(rep, sample_id, label, w)``, all level by level in the same jobs."""
+    kept = cells.where("value = 1").select("sample_id", "variant_id", "value").persist()  # read twice a level
+    try:
+        return grow_levels(kept, samples, max_depth, least_split, least_leaf, cut)
+    finally:
+        kept.unpersist()
+
+
+def grow_levels(cells: DataFrame, samples: DataFrame, max_depth: int | None, least_split: float, least_leaf: float, cut) -> dict[int, Tree]:
+    """As ``grow_all``, of cells that hold ones only."""
     spark = cells.sparkSession
     end = cut or (lambda df: df.checkpoint() if spark.sparkContext.getCheckpointDir() else df.persist())
     assign = samples.select("rep", "sample_id", "label", F.lit(1).cast("bigint").alias("node_id"), "w")
-    hit = cells.where("value = 1").select("sample_id", "variant_id", F.lit(1).alias("one"))
+    hit = cells.withColumnRenamed("value", "one")
     trees: dict[int, Tree] = {}
     parents: dict[tuple[int, int], int] = {}
     depth = 0

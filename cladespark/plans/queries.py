@@ -12,6 +12,7 @@ from .. import workflow
 from ..functions import text as fx
 from ..operators import annotate, association, calls, columns, models, resample, scoring, tree
 from ..sources import sinks
+from .grown import bootstrap_sql, grown_sql, relations
 from .standins import relation, sql, with_
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -113,14 +114,15 @@ def yates_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(association.statistics(association.contingency(cells, labels)).where("dof = 1").select("variant_id", "n", "chi2", "v"))
 
 
+MUTUAL = """e as (select f1, f2, 'j' as k, 2 * x + y as v, label from j union all select f1, f2, 'a', x, label from j union all select f1, f2, 'b', y, label from j),
+ o as (select f1, f2, k, v, label, cast(count(*) as double) as o from e group by all),
+ w as (select *, sum(o) over (partition by f1, f2, k) as n, sum(o) over (partition by f1, f2, k, v) as r, sum(o) over (partition by f1, f2, k, label) as c from o),
+ mi as (select f1, f2, k, sum(o / n * ln(o * n / (r * c))) as mi from w group by all)"""
 PAIRS = "select a.p_brand as f1, b.p_brand as f2 from (select distinct p_brand from {part}) a join (select distinct p_brand from {part}) b on a.p_brand < b.p_brand"
 JOINT = with_("brand_cells", "segment_labels") + ", prs as (" + PAIRS.format(part="part") + """),
  lab as (select * from segment_labels where sample_id in (select sample_id from brand_cells)),
  j as (select f1, f2, l.sample_id, l.label, case when a.sample_id is null then 0 else 1 end as x, case when b.sample_id is null then 0 else 1 end as y from prs cross join lab l left join brand_cells a on a.sample_id = l.sample_id and a.variant_id = f1 left join brand_cells b on b.sample_id = l.sample_id and b.variant_id = f2),
- e as (select f1, f2, 'j' as k, 2 * x + y as v, label from j union all select f1, f2, 'a', x, label from j union all select f1, f2, 'b', y, label from j),
- o as (select f1, f2, k, v, label, cast(count(*) as double) as o from e group by all),
- w as (select *, sum(o) over (partition by f1, f2, k) as n, sum(o) over (partition by f1, f2, k, v) as r, sum(o) over (partition by f1, f2, k, label) as c from o),
- mi as (select f1, f2, k, sum(o / n * ln(o * n / (r * c))) as mi from w group by all)"""
+ """ + MUTUAL
 
 
 def brand_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,7 +135,17 @@ def feature_synergy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(association.synergy(cells, labels, brand_pairs(spark, sf_dir)))
 
 
-@query()
+DEALT = EVENTS + f""" lab as (select * from segment_labels where sample_id in (select sample_id from event_cells)), r as (select unnest(range(-1, 20)) as perm),
+ da as (select perm, sample_id, row_number() over (partition by perm order by sample_id) as i from lab cross join r),
+ db as (select perm, label, row_number() over (partition by perm order by case when perm < 0 then null else md5(concat_ws('|', '{SEED}', cast(perm as varchar), sample_id)) end, sample_id) as i from lab cross join r),
+ prs as (select * from (values ('click_1', 'view_1'), ('click_2', 'purchase_2'), ('view_3', 'purchase_3')) p(g1, g2)),
+ j as (select perm || '|' || g1 as f1, g2 as f2, db.label, case when a.sample_id is null then 0 else 1 end as x, case when b.sample_id is null then 0 else 1 end as y from prs cross join da join db using (perm, i) left join event_cells a on a.sample_id = da.sample_id and a.variant_id = g1 left join event_cells b on b.sample_id = da.sample_id and b.variant_id = g2),
+ """ + MUTUAL + """, st as (select cast(split_part(f1, '|', 1) as int) as perm, split_part(f1, '|', 2) as f1, f2, sum(case when k = 'j' then mi else -mi end) as s from mi group by 1, 2, 3),
+ sh as (select f1, f2, o.s as observed, avg(case when x.s >= o.s - 1e-12 then 1.0 else 0 end) as p from st x join st o using (f1, f2) where x.perm >= 0 and o.perm < 0 group by 1, 2, 3)
+ select f1, f2, round(observed, 6) as observed, round(p, 6) as p, p < 0.05 as significant from sh"""
+
+
+@query(DEALT)
 def interaction_permutation_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells, labels = association.align(relation(spark, sf_dir, "event_cells"), relation(spark, sf_dir, "segment_labels"))
     pairs = spark.createDataFrame([("click_1", "view_1"), ("click_2", "purchase_2"), ("view_3", "purchase_3")], "f1 string, f2 string")
@@ -383,11 +395,29 @@ def circular_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", fx.context(F.col("s"), F.pmod("doc_id", F.length("s")) + 1, 10).alias("context"), fx.reverse_complement(F.col("s")).alias("reverse"))
 
 
-@query()
+GENOME = ("ACGTTGCAGT", 2001)
+CODED = with_("regions", "places") + f""", gn as (select repeat('{GENOME[0]}', {GENOME[1]}) as g),
+ cds as (select idx, start as st, start + 9 as en, idx % 2 = 0 as plus, case when idx % 2 = 0 then '+' else '-' end || 'L' || idx || ' | g | p | [' as gene from regions),
+ hit as (select variant_id, min(idx) as idx from places join cds on st <= pos - 1 and pos - 1 < en group by 1),
+ near as (select variant_id, arg_min(idx, (least(abs(pos - 1 - st), abs(pos - 1 - en)), idx)) as idx from places cross join cds where variant_id not in (select variant_id from hit) group by 1),
+ r as (select p.variant_id, pos, c.*, case when plus then pos - 1 - st else en - pos end as rel from places p join hit using (variant_id) join cds c using (idx)),
+ w as (select *, substr(g, case when plus then st + 3 * (rel // 3) + 1 else en - 3 * (rel // 3 + 1) + 1 end, 3) as raw from r cross join gn),
+ o as (select *, case when plus then raw else translate(reverse(raw), 'ACGT', 'TGCA') end as old_ from w),
+ n as (select *, substr(old_, 1, rel % 3) || case when plus then 'C' else 'G' end || substr(old_, rel % 3 + 2) as new_ from o),
+ f as (select variant_id, pos, 'coding' as region_type, rel + 1 as rel_pos, rel // 3 + 1 as codon_number, old_ || '|' || new_ as nucleotide_change, {{old}} || '|' || {{new}} as amino_change, gene || (st + 1) || '..' || en || ']' as gene from n
+  union all select p.variant_id, pos, 'non-coding', null, null, 'A|C', '-', gene || (st + 1) || '..' || (st + 1) || ']' from places p join near using (variant_id) join cds using (idx))
+ select variant_id, cast(pos as bigint) as pos, region_type, cast(rel_pos as bigint) as rel_pos, cast(codon_number as bigint) as codon_number, nucleotide_change, amino_change, gene, substr(g || g || g, {len(GENOME[0]) * GENOME[1]} + pos - 40, 81) as context from f cross join gn"""
+
+
+def amino_sql(codon: str) -> str:
+    return f"substr('{fx.AMINO}', " + " + ".join(f"{w} * (instr('TCAG', substr({codon}, {i}, 1)) - 1)" for i, w in ((1, 16), (2, 4), (3, 1))) + " + 1, 1)"
+
+
+@query(CODED.format(old=amino_sql("old_"), new=amino_sql("new_")))
 def coding_annotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     cds = relation(spark, sf_dir, "regions").select("idx", "start", (F.col("start") + 9).alias("end"), F.when(F.col("idx") % 2 == 0, 1).otherwise(-1).alias("strand"), F.concat(F.lit("L"), "idx").alias("locus_tag"), F.lit("g").alias("gene"), F.lit("p").alias("product"))
     v = relation(spark, sf_dir, "places").withColumns({"ref": F.lit("A"), "alt": F.lit("C")})
-    return rounded(annotate.annotate(v, cds, "ACGTTGCAGT" * 2001))
+    return rounded(annotate.annotate(v, cds, GENOME[0] * GENOME[1]))
 
 
 # Trees
@@ -405,43 +435,56 @@ def root_split_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(tree.split_scores(cells, labels.withColumns({"node_id": F.lit(1).cast("bigint"), "w": F.lit(1.0)})))
 
 
-@query()
+SAMPLES = EVENTS + relations("event_cells", "segment_labels") + ","
+GROWN = SAMPLES + grown_sql(4)
+
+
+@query(GROWN + " select node_id, cast(depth as bigint) as depth, variant_id, cast(left_ as bigint) as \"left\", cast(right_ as bigint) as \"right\", n, round(gain, 6) as gain, label from nodes")
 def decision_tree_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tree.grow(*event_data(spark, sf_dir), max_depth=4).rows(spark)
+    return rounded(tree.grow(*event_data(spark, sf_dir), max_depth=4).rows(spark))
 
 
-@query()
+@query(GROWN + " select round(sum(most) filter (where variant_id is null) / (select count(*) from lab), 6) as accuracy from nodes")
 def decision_tree_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells, labels = event_data(spark, sf_dir)
     grown = tree.grow(cells, labels, max_depth=4)
-    return tree.accuracy(tree.predict(grown, cells, labels), labels)
+    return rounded(tree.accuracy(tree.predict(grown, cells, labels), labels))
 
 
-@query()
+@query(GROWN + " select variant_id, case when avg(depth) <= 1.5 then 'root' else 'branch' end as role from nodes where variant_id is not null group by 1")
 def root_and_branch_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     roots, branches = tree.grow(*event_data(spark, sf_dir), max_depth=4).roots_and_branches()
     return spark.createDataFrame([(f, "root") for f in roots] + [(f, "branch") for f in branches], "variant_id string, role string")
 
 
-@query()
+@query(GROWN + """, ch as (select x.variant_id as f1, y.variant_id as f2, y.n as support, y.depth from nodes x join nodes y on y.node_id in (x.left_, x.right_) where x.variant_id is not null and y.variant_id is not null),
+ j as (select f1, f2, l.label, case when a.sample_id is null then 0 else 1 end as x, case when b.sample_id is null then 0 else 1 end as y from (select distinct f1, f2 from ch) cross join lab l left join cells a on a.sample_id = l.sample_id and a.variant_id = f1 left join cells b on b.sample_id = l.sample_id and b.variant_id = f2),
+ """ + MUTUAL + """, st as (select f1, f2, greatest(0, sum(case when k = 'j' then mi else -mi end)) as strength from mi group by 1, 2)
+ select f1, f2, support, cast(depth + 1 as bigint) as path_depth, case when depth = 1 then 'pairwise' else 'conditional' end as kind, round(strength, 6) as strength from ch join st using (f1, f2) where strength > 0.001 order by st.strength desc, f1, f2, depth limit 50""")
 def epistatic_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells, labels = event_data(spark, sf_dir)
-    return tree.interactions(tree.grow(cells, labels, max_depth=4), cells, labels, 0.001)
+    return rounded(tree.interactions(tree.grow(cells, labels, max_depth=4), cells, labels, 0.001))
 
 
-@query()
+@query(EVENTS + RANKED + """, good as (select variant_id, p, q from bh where q <= 0.05 order by p, variant_id limit 20), e as (select count(distinct sample_id) as n from t_lab),
+ ct as (select variant_id, count(*) as ones, max(n) as n from event_cells join t_lab using (sample_id) cross join e group by 1),
+ top as (select variant_id from ct where ones < n order by cast(ones * (n - ones) as double) / (n * (n - 1.0)) desc, variant_id limit 20)
+ select variant_id, round(p, 6) as p, round(q, 6) as q, 'significant' as why from good union all select variant_id, null, null, 'variance' from top where not exists (select 1 from good)""")
 def prefiltered_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells, labels = event_data(spark, sf_dir)
     return rounded(association.prefilter(cells, labels, labels.count(), most=20))
 
 
-@query()
+@query(SAMPLES + bootstrap_sql(3, 2, SEED) + """, sm as (select variant_id, avg(importance) as mean, quantile_cont(importance, 0.025) as low, quantile_cont(importance, 0.975) as high, stddev_samp(importance) as sd from imp group by 1),
+ tt as (select *, abs(mean) / (sd / sqrt(3.0)) as t from sm where sd > 0)
+ select variant_id, round(sm.mean, 6) as mean, round(sm.low, 6) as low, round(sm.high, 6) as high, round(stability, 6) as stability, round(1 - t / sqrt(t * t + 2), 6) as p from sm join stable using (variant_id) left join tt using (variant_id)""")
 def bootstrap_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells, labels = association.align(relation(spark, sf_dir, "event_cells"), relation(spark, sf_dir, "segment_labels"))
-    return rounded(resample.bootstrap_validation(cells, labels, 3, SEED, 2))
+    found = resample.bootstrap_validation(cells, labels, 3, SEED, 2)
+    return rounded(found.withColumn("p", F.when(~F.isnan("p"), F.col("p"))))  # no p where all importances are 0
 
 
-@query()
+@query(SAMPLES + bootstrap_sql(2, 2, SEED) + "," + STATISTICS.replace("with ", "") + " select variant_id, round(mi, 6) as mi, round(v, 6) as v, round(stability, 6) as stability, round(0.4 * mi + 0.4 * stability + 0.2 * v, 6) as confidence from pv join stable using (variant_id)")
 def feature_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells, labels = association.align(relation(spark, sf_dir, "event_cells"), relation(spark, sf_dir, "segment_labels"))
     s = association.statistics(association.contingency(cells, labels)).select("variant_id", "mi", "v")

@@ -10,7 +10,7 @@ from cladespark.plans.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-FAST = ["association_top_features", "multiple_testing", "fisher_exact_tests", "yates_statistics", "carrier_sites", "call_quality_report", "column_gates", "redundant_patterns", "category_codes", "interval_join", "nearest_region", "root_split_scores", "threshold_sweep", "naive_bayes_scores", "nearest_neighbour_votes", "quota_sample", "bootstrap_draws", "feature_synergy", "circular_context", "binary_sequences", "ordered_site_table", "allele_sequences", "identified_records", "typed_and_forced_columns", "info_fields"]
+FAST = ["association_top_features", "multiple_testing", "fisher_exact_tests", "yates_statistics", "carrier_sites", "call_quality_report", "column_gates", "redundant_patterns", "category_codes", "interval_join", "nearest_region", "root_split_scores", "threshold_sweep", "naive_bayes_scores", "nearest_neighbour_votes", "quota_sample", "bootstrap_draws", "feature_synergy", "circular_context", "binary_sequences", "ordered_site_table", "allele_sequences", "identified_records", "typed_and_forced_columns", "info_fields", "decision_tree_nodes", "decision_tree_accuracy", "root_and_branch_features", "epistatic_interactions", "prefiltered_features", "interaction_permutation_test", "bootstrap_validation", "feature_confidence", "coding_annotation"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are not here")
 
