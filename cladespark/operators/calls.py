@@ -50,6 +50,38 @@ def called_allele(ref: Column, alts: Column, fmt: Column, smp: Column) -> Column
     return F.when(gt.isNull() | (gt == ""), first).when(hit.isNull(), ref).otherwise(F.coalesce(F.get(alts, hit - 1), first))
 
 
+def sample_field(fmt: Column, smp: Column, key: str) -> Column:
+    """The sample's own value of a FORMAT key, null if it has none."""
+    at = F.array_position(fmt, key)
+    return F.when(at > 0, F.get(smp, (at - 1).cast("int")))
+
+
+def masked(records: DataFrame, least_quality: float = 0, least_depth: float = 0) -> DataFrame:
+    """``records`` whose genotype is missing (``./.``) where the sample's own GQ or DP is too low; absent and unreadable values mask nothing."""
+    low = lambda k, least: F.coalesce(sample_field(F.col("fmt"), F.col("smp"), k).try_cast("double") < least, F.lit(False))
+    gone = F.transform(F.arrays_zip("fmt", "smp"), lambda x: F.when(x["fmt"] == "GT", F.lit("./.")).otherwise(x["smp"]))
+    return records.withColumn("smp", F.when(low("GQ", least_quality) | low("DP", least_depth), gone).otherwise(F.col("smp")))
+
+
+def genotype_value(fmt: Column, smp: Column) -> Column:
+    """1 if the genotype has an alternate, 0 if not, null if any of it is missing or there is none."""
+    gt = sample_field(fmt, smp, "GT")
+    return F.when(gt.isNull() | (gt == "") | gt.contains("."), F.lit(None).cast("int")).otherwise(gt.rlike("[1-9]").cast("int"))
+
+
+def away_from_indels(records: DataFrame, gap: int) -> DataFrame:
+    """``records`` but those of single bases that lie within ``gap`` bases of an insertion or deletion of any sample.
+
+    Indels are listed in every bin that they reach, so the join has an equality."""
+    width = max(1000, 2 * gap)
+    long = (F.length("ref") > 1) | F.exists("alts", lambda a: F.length(a) > 1)
+    indels = records.where(long).select("chrom", (F.col("pos") - gap).alias("low"), (F.col("pos") + F.length("ref") - 1 + gap).alias("high")).distinct()
+    indels = indels.withColumn("bin", F.explode(F.sequence(F.floor(F.col("low") / width), F.floor(F.col("high") / width))))
+    snps = records.where(~long).withColumn("bin", F.floor(F.col("pos") / width))
+    kept = snps.join(indels.withColumnRenamed("chrom", "c"), (F.col("chrom") == F.col("c")) & (snps["bin"] == indels["bin"]) & F.col("pos").between(F.col("low"), F.col("high")), "left_anti")
+    return kept.drop("bin").union(records.where(long))
+
+
 def calls(records: DataFrame, biallelic: bool = True, **limits: float) -> DataFrame:
     """(sample_id, chrom, pos, ref, called): records that look like SNPs and pass; of several of a sample's site the last wins."""
     good = records.where(snp_like(F.col("ref"), F.col("alts"), biallelic)).where(passes_qc(F.col("qual"), F.col("info"), **limits))

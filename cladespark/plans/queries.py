@@ -258,6 +258,21 @@ def compact_variant_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calls.compact_ids(s.select(calls.variant_id().alias("variant_id")))
 
 
+INDELS = with_("raw_calls") + ", r as (select *, case when line_no % 701 = 0 then 'AT' else ref end as longer from raw_calls), i as (select distinct chrom, pos from r where length(longer) > 1)"
+
+
+@query(INDELS + """ select r.sample_id, cast(line_no as bigint) as line_no, chrom, cast(pos as bigint) as pos, cast(case when dp < 6 then null when called <> ref then 1 else 0 end as bigint) as value from r
+ where length(longer) > 1 or not exists (select 1 from i where i.chrom = r.chrom and r.pos between i.pos - 2 and i.pos + 3)""")
+def masked_genotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Genotypes away from indels, missing where the sample's own depth is low."""
+    raw = relation(spark, sf_dir, "raw_calls")
+    longer = F.when(F.col("line_no") % 701 == 0, "AT").otherwise(F.col("ref"))
+    gt = F.when(F.col("called") == F.col("ref"), "0/0").otherwise("0|1")
+    r = raw.select("sample_id", "line_no", "chrom", "pos", longer.alias("ref"), F.array("called").alias("alts"), F.array(F.lit("DP"), F.lit("GT")).alias("fmt"), F.array(F.col("dp").cast("string"), gt).alias("smp"))
+    kept = calls.masked(calls.away_from_indels(r, 2), least_depth=6)
+    return rounded(kept.select("sample_id", "line_no", "chrom", "pos", calls.genotype_value(F.col("fmt"), F.col("smp")).alias("value")))
+
+
 @query(with_("raw_calls") + " select sample_id, cast(count(*) as bigint) as records, cast(count(distinct chrom) as bigint) as contigs, cast(0 as bigint) as haploid_alt, cast(count(*) filter (where called <> ref) as bigint) as het, cast(0 as bigint) as missing, cast(count(*) filter (where called = ref) as bigint) as hom_ref, cast(count(*) filter (where qual < 30) as bigint) as low_qual, round(avg(dp), 6) as mean_dp, cast(count(*) filter (where dp < 10) as bigint) as low_dp, cast(0 as bigint) as indels, cast(0 as bigint) as multiallelic from raw_calls group by 1")
 def call_quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(calls.qc_report(call_records(spark, sf_dir)))

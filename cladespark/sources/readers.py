@@ -19,6 +19,19 @@ def call_lines(spark: SparkSession, folder: str) -> DataFrame:
     return raw.select(file_sample(F.col("_metadata.file_name")).alias("sample_id"), place.alias("line_no"), "value").where("value <> ''")
 
 
+def cohort_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(sample_id, line_no, value) as ``call_lines`` has them, of files with a column for each of several samples, named by the ``#CHROM`` line.
+
+    A record becomes one line a sample; samples beyond a record's fields have none. Headers are joined by file: they are few, and AQE
+    broadcasts them or splits a large file."""
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), "value")
+    heads = raw.where(F.col("value").startswith("#CHROM\t")).groupBy("file").agg(F.min(F.split("value", "\t")).alias("names"))
+    heads = heads.where("size(names) > 9").select("file", F.expr("slice(names, 10, size(names) - 9)").alias("names"))
+    rows = raw.where(~F.col("value").startswith("#")).select("file", F.struct("block", "line").alias("line_no"), F.split("value", "\t").alias("f")).where("size(f) > 9")
+    one = rows.join(heads, "file").select("line_no", F.expr("array_join(slice(f, 1, 9), '\t')").alias("shared"), F.explode(F.arrays_zip("names", F.expr("slice(f, 10, size(f) - 9)").alias("own"))).alias("x"))
+    return one.where("x.names is not null and x.own is not null").select(F.trim("x.names").alias("sample_id"), "line_no", F.concat_ws("\t", "shared", "x.own").alias("value"))
+
+
 def call_files(spark: SparkSession, folder: str, delimiter: str = "_") -> DataFrame:
     """(sample_id, path) of the call files of a folder: the name up to the delimiter; of several files of a sample the first by path."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{vcf,vcf.gz}").load(folder).select("path")

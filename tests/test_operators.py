@@ -2,6 +2,7 @@ import gzip
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from cladespark.operators import annotate, association, calls, columns, resample, scoring, tree
 from cladespark.sources import readers, sinks
@@ -41,6 +42,20 @@ def test_call_files(spark, tmp_path):
         readers.load_genotypes(spark, str(tmp_path / "a.vcf"))
 
 
+def test_cohort_file(spark, tmp_path):
+    head = HEAD.replace("\tS\n", "\ts1\ts2\ts3\n")
+    row = lambda pos, *smp, **k: record(pos, fmt="GT:GQ:DP", smp="\t".join(smp), **k)
+    body = row(5, "0/1:50:9", "0/0:50:9", "1|1:3:9") + row(6, "./.:50:9", "1:50:2") + row(7, "0/1:50:9", "0/1", "0/0:x:9") + row(400, "0/1:9:9", "1/1:9:9", "1/1:9:9", ref="AT") + row(403, "1/1:9:9", "0/0:9:9", "0/0:9:9") + row(404, "1/1:9:9", "0/0:9:9", "0/0:9:9")
+    (tmp_path / "all.vcf").write_text(head + body)
+    r = calls.parse_records(readers.cohort_lines(spark, str(tmp_path / "all.vcf")))
+    assert r.count() == 17
+    got = calls.calls(calls.masked(r, least_quality=5, least_depth=3)).where("called <> ref")
+    assert sorted((x.sample_id, x.pos) for x in got.collect()) == [("s1", 5), ("s1", 7), ("s1", 403), ("s1", 404), ("s2", 7)]
+    values = calls.masked(r, 5, 3).where("pos < 8").select("sample_id", "pos", calls.genotype_value(r["fmt"], F.col("smp")).alias("v"))
+    assert {(x.sample_id, x.pos): x.v for x in values.collect()} == {("s1", 5): 1, ("s2", 5): 0, ("s3", 5): None, ("s1", 6): None, ("s2", 6): None, ("s1", 7): 1, ("s2", 7): 1, ("s3", 7): 0}
+    assert sorted({x.pos for x in calls.away_from_indels(r, 2).collect()}) == [5, 6, 7, 400, 404]
+
+
 def test_matrix_file(spark, tmp_path):
     (tmp_path / "m.csv").write_bytes("﻿Strain;Labels;1;2\r\ns1;R;1;0\r\ns2;S;0;\r\n".encode())
     cells, labels = readers.matrix(spark, str(tmp_path / "m.csv"), "Labels")
