@@ -39,6 +39,12 @@ def forget(df: DataFrame) -> None:
         where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that is never broadcast. Spark takes a table it reads for as large as its compressed files and an array for one
+    element, so rows exploded from small files would all be built into one table in the driver."""
+    return df.hint("merge")
+
+
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Fewer rows in an Arrow batch, as a row holds a whole text."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import components, cut, forget, lean, only, small_batches
+from ._util import components, cut, forget, lean, only, shuffled, small_batches
 from .fingerprints import mixed
 from .pieces import gather, powers
 
@@ -42,8 +42,8 @@ SALT_ROWS = 50_000
 GROUP = 4000
 #: Shingles of either side of a block of full sets: 16 MB; a longer text is alone on its side.
 ITEMS = 2_000_000
-#: Ids to look up again that may be broadcast: 16 MB at most.
-BROADCAST_IDS = 1_000_000
+#: Ids to look up again that may be broadcast; the driver holds some 100 bytes of each. No other table is broadcast here.
+BROADCAST_IDS = 500_000
 #: Bytes of text that are split into words at a time.
 BLOCK = 1 << 18
 
@@ -138,11 +138,16 @@ def digest(x: np.ndarray) -> bytes:
     return hashlib.blake2b(x.tobytes(), digest_size=16).digest()
 
 
+def looked_up(ids: DataFrame) -> DataFrame:
+    """A written table of ids as a side of a join, broadcast only if its rows are few."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else shuffled(ids)
+
+
 def full_sets(docs: DataFrame, classes: DataFrame, reps: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
     """(rep, items array<bigint>) of the classes ``reps(rep)``, from the texts of their first rows again."""
-    wanted = cut(classes.select("rep", "key", F.col("at.id").alias("id"), F.col("at.th").alias("th")).join(reps, "rep", "left_semi"))
+    wanted = cut(classes.select("rep", "key", F.col("at.id").alias("id"), F.col("at.th").alias("th")).join(shuffled(reps), "rep", "left_semi"))
     where = wanted.select("id", "th")
-    where = F.broadcast(where) if where.count() <= BROADCAST_IDS else where
+    where = looked_up(where)
     src = hashed(docs, id_col, text_col).alias("d").join(where.alias("w"), F.col("d.th").eqNullSafe(F.col("w.th")) & F.col("d.id").eqNullSafe(F.col("w.id")), "left_semi").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +155,7 @@ def full_sets(docs: DataFrame, classes: DataFrame, reps: DataFrame, words: int,
             sets = list(shingle_sets(b.column(0).to_pylist(), words))
             yield pa.RecordBatch.from_arrays([pa.array([digest(x) for x in sets], pa.binary()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["key", "items"])
 
-    found = src.mapInArrow(lean(run), "key binary, items array<bigint>").join(wanted.select("key", "rep"), "key")
+    found = src.mapInArrow(lean(run), "key binary, items array<bigint>").join(shuffled(wanted.select("key", "rep")), "key")
     return found.select("rep", "items").dropDuplicates(["rep"])
 
 
@@ -158,10 +163,10 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
     """The pairs (a, b) whose signatures agree often enough and whose full sets reach the similarity."""
     sig = classes.select("rep", "sig")
     same = F.expr("aggregate(zip_with(sa, sb, (x, y) -> if(x = y, 1, 0)), 0, (t, x) -> t + x)")
-    near = pairs.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b").where(same >= MATCHES).select("a", "b")
+    near = pairs.join(shuffled(sig.toDF("a", "sa")), "a").join(shuffled(sig.toDF("b", "sb")), "b").where(same >= MATCHES).select("a", "b")
     near = cut(near)
     sets = cut(full_sets(docs, classes, near.select(F.col("a").alias("rep")).union(near.select("b")).distinct(), words, id_col, text_col))
-    both = near.join(sets.toDF("a", "ia"), "a").join(sets.toDF("b", "ib"), "b")
+    both = near.join(shuffled(sets.toDF("a", "ia")), "a").join(shuffled(sets.toDF("b", "ib")), "b")
     common = F.size(F.array_intersect("ia", "ib"))
     out = cut(both.where(100 * common >= percent * (F.size("ia") + F.size("ib") - common)).select("a", "b"))
     forget(near)
@@ -175,7 +180,7 @@ def postings(classes: DataFrame) -> DataFrame:
     tokens = classes.select("rep", F.posexplode("sig").alias("at", "value"))
     tokens = tokens.select("rep", (F.shiftleft(F.col("at").cast("bigint"), 32) + F.col("value").cast("bigint") + F.lit(2**31)).alias("token"))
     freq = tokens.groupBy("token").agg(F.count("*").alias("freq")).where("freq > 1")
-    shared = tokens.join(freq, "token")
+    shared = tokens.join(shuffled(freq), "token")
     ranked = shared.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("freq", "token"))).alias("t"))
     kept = F.slice("t", F.lit(1), F.greatest(F.lit(0), F.lit(prefix - K) + F.size("t")))
     return ranked.select("rep", F.explode(kept).alias("t")).select("t.token", "t.freq", "rep")
@@ -191,10 +196,10 @@ def completed(held: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
     sizes = held.groupBy("token", "component").agg(F.count("*").alias("m"))
     top = sizes.groupBy("token").agg(F.max(F.struct("m", "component")).alias("top"), F.sum("m").alias("g"), F.count("*").alias("c")).where("c > 1")
     top = top.select("token", F.col("top.component").alias("top"), F.expr(f"cast(g div {GROUP} + 1 as int)").alias("gb"), F.expr(f"cast((g - top.m) div {GROUP} + 1 as int)").alias("mb"))
-    rows = cut(held.join(top, "token"))
+    rows = cut(held.join(shuffled(top), "token"))
     own = rows.select("token", "rep", "component", F.pmod(F.xxhash64("rep"), "gb").cast("int").alias("x"), F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("y"), F.lit(False).alias("asks"))
     out = rows.where("component <> top").select("token", "rep", "component", F.explode(F.sequence(F.lit(0), F.col("gb") - 1)).alias("x"), F.pmod(F.xxhash64("rep"), "mb").cast("int").alias("y"), F.lit(True).alias("asks"))
-    both = own.union(out).join(classes.select("rep", "n", "sig"), "rep")
+    both = own.union(out).join(shuffled(classes.select("rep", "n", "sig")), "rep")
     kind = held.schema["rep"].dataType.simpleString()
 
     def promising(t: pa.Table) -> tuple[np.ndarray, Iterator[tuple[int, np.ndarray]]]:
@@ -262,7 +267,7 @@ def completed(held: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
         none = np.zeros(0, rep.dtype)
         return pa.table([pa.array(np.concatenate(a) if a else none), pa.array(np.concatenate(b) if b else none)], ["a", "b"])
 
-    links = left.join(sets, "rep").groupBy("token", "x", "y", "z").applyInArrow(run, f"a {kind}, b {kind}")
+    links = left.join(shuffled(sets), "rep").groupBy("token", "x", "y", "z").applyInArrow(run, f"a {kind}, b {kind}")
     found = cut(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     forget(left)
     return found
@@ -276,11 +281,11 @@ def grouped(docs: DataFrame, words: int, percent: int, id_col: str, text_col: st
     posts = cut(postings(classes))
     salts = F.expr(f"cast(freq div {SALT_ROWS} + 1 as int)")
     lead = posts.groupBy("token", "freq").agg(F.min(F.struct(F.xxhash64("rep", "token"), F.col("rep"))).alias("l")).select("token", F.col("l.rep").alias("leader"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
-    met = posts.withColumn("salt", F.pmod(F.xxhash64("rep"), salts).cast("int")).join(lead, ["token", "salt"]).where("rep <> leader")
+    met = posts.withColumn("salt", F.pmod(F.xxhash64("rep"), salts).cast("int")).join(shuffled(lead), ["token", "salt"]).where("rep <> leader")
     first = confirmed(met.select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct(), classes, docs, words, percent, id_col, text_col)
     comp = cut(components(first))
     # what is left: members of a posting in different components
-    held = posts.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    held = posts.join(shuffled(comp.withColumnRenamed("node", "rep")), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     held = cut(held.select("token", "rep", "component"))
     forget(posts)
     second = completed(held, classes, docs, words, percent, id_col, text_col)
@@ -289,10 +294,10 @@ def grouped(docs: DataFrame, words: int, percent: int, id_col: str, text_col: st
         comp = cut(components(first.union(second)))
         forget(old)
     of = comp.withColumnRenamed("node", "rep")
-    least = of.join(classes.select("rep", "id"), "rep").groupBy("component").agg(F.min("id").alias("least"))
-    home = classes.select("key", "rep", "id").join(of.join(least, "component"), "rep", "left")
+    least = of.join(shuffled(classes.select("rep", "id")), "rep").groupBy("component").agg(F.min("id").alias("least"))
+    home = classes.select("key", "rep", "id").join(shuffled(of.join(shuffled(least), "component")), "rep", "left")
     home = home.select("key", F.coalesce("component", "rep").alias("component"), F.when(F.col("component").isNull(), F.col("id")).otherwise(F.col("least")).alias("least"))
-    return sigs.join(home, "key", "left").select("id", "th", "n_shingles", "component", "least")
+    return sigs.join(shuffled(home), "key", "left").select("id", "th", "n_shingles", "component", "least")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

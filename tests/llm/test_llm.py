@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cladespark.llm import bpe, fingerprints, line_dedup, minhash, packing, pieces, secrets, sharding, token_output, toxicity, vectors
-from cladespark.llm._util import components
+from cladespark.llm._util import components, cut
 
 TOKENIZER, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 SCHEMA = "doc_id long, text string, spans string, id string, key int, label string"
@@ -383,3 +383,23 @@ def test_near_duplicates_of_repeated_and_missing_ids(spark):
     left = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
     assert left == sorted([(3, near), (5, f"{b} more"), (None, c), (9, None), (9, None), (None, " ")], key=str)
     assert minhash.keep_one(df.limit(0)).count() == 0 and minhash.keep_one(kept).count() == 6
+
+
+@pytest.mark.parametrize("run", [minhash.near_duplicates])
+def test_minhash_broadcasts_no_table_that_grows(spark, monkeypatch, run):
+    """Only ids to look up again may be broadcast, and none here; exploded signatures of small files look tiny to Spark."""
+    plans = []
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(minhash, "cut", noted)
+    monkeypatch.setattr(minhash, "BROADCAST_IDS", -1)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*words[: 58 + i % 3], "a" * i])) for i in range(9)] + [(i, f"other{i} text") for i in range(9, 15)]
+    out = run(spark.createDataFrame(rows, "doc_id long, text string"), 2, 80)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    got = out.where("kept").collect() if "kept" in out.columns else out.collect()
+    assert sorted(r.doc_id for r in got) == [0, *range(9, 15)]
+    assert len(plans) > 10 and sum("Broadcast" in p for p in plans) == 0
