@@ -313,9 +313,9 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "
     rows = cut(grouped(docs, words, percent, id_col, text_col).where("component is not null"))
     per = rows.groupBy("component", "id", "th").agg(F.count("*").alias("rows"))
     first = rows.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("first"))
-    per = cut(per.join(first, "component").select("id", "th", "rows", (F.col("id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th"))).alias("stays")))
+    per = cut(per.join(shuffled(first), "component").select("id", "th", "rows", (F.col("id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th"))).alias("stays")))
     gone = per.where("not stays or rows > 1").select("id", "th")
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    gone = looked_up(gone)
     src = docs.withColumn("__th", F.xxhash64(F.col(f"`{text_col}`")))
 
     def picked(some: DataFrame, how: str) -> DataFrame:
@@ -328,5 +328,5 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "
         return out
     columns = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     order = F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind])
-    one = picked(again, "left_semi").groupBy(F.col(f"`{id_col}`").alias("__i"), "__th").agg(F.min_by(columns, order).alias("__row"))
+    one = picked(looked_up(again), "left_semi").groupBy(F.col(f"`{id_col}`").alias("__i"), "__th").agg(F.min_by(columns, order).alias("__row"))
     return out.union(one.select("__row.*"))

@@ -385,7 +385,7 @@ def test_near_duplicates_of_repeated_and_missing_ids(spark):
     assert minhash.keep_one(df.limit(0)).count() == 0 and minhash.keep_one(kept).count() == 6
 
 
-@pytest.mark.parametrize("run", [minhash.near_duplicates])
+@pytest.mark.parametrize("run", [minhash.near_duplicates, minhash.keep_one])
 def test_minhash_broadcasts_no_table_that_grows(spark, monkeypatch, run):
     """Only ids to look up again may be broadcast, and none here; exploded signatures of small files look tiny to Spark."""
     plans = []
